@@ -48,7 +48,7 @@ def examples(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     )
     n = F.size("parts")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.col("replies")[i - 1] | (i == n))
-    each = convs.select("conv_id", "parts", "replies", "sizes", F.posexplode(ends).alias("example", "upto"))
+    each = convs.select("conv_id", "parts", "replies", "sizes", F.posexplode_outer(ends).alias("example", "upto"))
     each = each.select(
         "conv_id", "example", F.array_join(F.slice("parts", F.lit(1), F.col("upto")), "").alias("formatted"),
         F.col("sizes")[F.col("upto") - 1].alias("size"), (~F.col("replies")[F.col("upto") - 1]).alias("closing"),
