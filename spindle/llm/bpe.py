@@ -12,11 +12,12 @@ as U+FFFD; repeated rows each give a row; equal long texts are encoded once; ext
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import as_text, spread, table
 #: Characters of a chunk before the overlap, and of the overlap.
 CHUNK, OVERLAP = 32_768, 512
 #: Pre-tokens whose ids a worker remembers. Bounds memory only: others are encoded again.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: The longest contraction that the pattern matches: nearer to the end of a chunk than this, a match may differ from the text's.
 MARGIN = 3
 
@@ -39,7 +40,7 @@ def read_ranks(path: str) -> bytes:
 
 
 class Codec(dict):
-    """Ids of pre-tokens, as a mapping that fills itself."""
+    """Ids of pre-tokens, as bytes of 32-bit numbers, in a mapping that fills itself."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
@@ -47,22 +48,31 @@ class Codec(dict):
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.pattern = regex.compile(pattern)
         self.of_piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
-        self.bytes_of = [b""] * (max(table.values(), default=-1) + 1)
+        tokens = [b""] * (max(table.values(), default=-1) + 1)
         for token, k in table.items():
-            self.bytes_of[k] = token
+            tokens[k] = token
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.of_piece(piece.encode("utf-8", "surrogatepass"))
+        ids = array("i", self.of_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The joined bytes of each row's tokens; a null row has none."""
+        flat, offsets = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+        sizes = self.sizes[flat]
+        ends = np.cumsum(sizes)
+        raw = self.bytes[np.repeat(self.starts[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[offsets].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
@@ -77,10 +87,10 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def lists(values: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-    flat = np.fromiter(chain.from_iterable(values), dtype=np.int32, count=int(sizes.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+def lists(values: list[bytes]) -> pa.ListArray:
+    """Rows of 32-bit numbers from their bytes."""
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(values), dtype=np.int32)))
 
 
 def sure_cuts(pattern, text: str, last: bool) -> list[int]:
@@ -126,8 +136,8 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: s
             head, tail = [], []
             for start, part, last in zip(batch.column(1).to_pylist(), as_text(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 cuts = [0, *sure_cuts(c.pattern, part, last)]
-                head.append([start + x for x in cuts if x <= overlap])
-                tail.append([start + x for x in cuts if chunk <= x])
+                head.append(array("i", [start + x for x in cuts if x <= overlap]).tobytes())
+                tail.append(array("i", [start + x for x in cuts if chunk <= x]).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(head), lists(tail)], schema=pa.schema([*batch.schema, ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))]))
 
     edges = T.ArrayType(T.IntegerType(), False)
@@ -164,10 +174,9 @@ def decode(encoded: DataFrame, ids_col: str, ranks: bytes, pattern: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                values = pa.array([b"" if ids is None else c.decode(ids) for ids in part.column(at).to_pylist()], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, "decoded"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, c.decode(part.column(at))], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, secrets, substring, warc
+from . import bpe, chat, decontaminate, embeddings, langid, minhash, secrets, substring, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_minhash": minhash.op3_minhash,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
     "op7_language_id": langid.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_warc_revisit": warc.op9_warc_revisit,
+    "op10_embedding_dedup": embeddings.op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
