@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embeddings, langid, minhash, secrets, substring, warc
+from . import bpe, chat, decontaminate, embeddings, langid, lm, minhash, secrets, substring, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_minhash": minhash.op3_minhash,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
     "op7_language_id": langid.op7_language_id,
