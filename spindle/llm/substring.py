@@ -89,7 +89,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, s
     texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2):
+        for batch in small(batches, 2, 1 << 20):
             w = Words(as_bytes(batch.column(2)))
             s, e, doc, start, count = stretches(w, length, seed)
             # Of equal stretches in one text, the later ones repeat whatever others hold.
@@ -120,7 +120,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, s
     asked = asked.join(texts, ["place", "th"]).select("place", "th", "text", "at")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2):
+        for batch in small(batches, 2, 1 << 20):
             w = Words(as_bytes(batch.column(2)))
             at = batch.column(3)
             which = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
@@ -156,7 +156,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) ->
     joined = rows.join(found, (F.col("_place") == F.col("place")) & (F.col("_th") == F.col("th")), "left").select(id_col, "_text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
+        for batch in small(batches, 1, 1 << 20):
             total, gone, kept = [], [], []
             for raw, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = raw.split()
