@@ -78,8 +78,13 @@ class Frames:
             return df
         pick = F.max_by if self.options.duplicates is DuplicatePolicy.LAST else F.min_by
         rest = [c for c in df.columns if c not in self.keys]
-        ordered = df if self.order in df.columns else df.withColumn(self.order, self.sides[side][self.order])
-        return ordered.groupBy(*self.keys).agg(pick(F.struct(*rest), F.col(self.order)).alias("_r")).select(*self.keys, "_r.*")
+        ordered = self.lined(side)
+        return ordered.groupBy(*self.keys).agg(pick(F.struct(*rest), F.col("_line")).alias("_r")).select(*self.keys, "_r.*")
+
+    def lined(self, side: int) -> DataFrame:
+        """The content with a column _line: the order column, even if it is ignored as content."""
+        line = F.col(self.order).cast("long") if self.order else F.lit(0).cast("long")
+        return reduce(drop_pointer, self.options.ignore, self.sides[side].withColumn("_line", line))
 
     def paired(self) -> DataFrame:
         """Keys, operation, and both sides' content as structs `old` and `new`."""
@@ -111,9 +116,7 @@ class Frames:
             df = self.content(n)
             rest = [c for c in df.columns if c not in self.keys]
             text = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("{}")
-            line = F.col(self.order).cast("long") if self.order else F.lit(0).cast("long")
-            source = self.sides[n] if self.order and self.order not in df.columns else df
-            both.append(source.select(F.lit(n).alias("side"), identity(self.keys).alias("identity"), line.alias("line"), F.octet_length(text).cast("long").alias("length"), F.unhex(F.sha2(text, 256)).alias("digest")))
+            both.append(self.lined(n).select(F.lit(n).alias("side"), identity(self.keys).alias("identity"), F.col("_line").alias("line"), F.octet_length(text).cast("long").alias("length"), F.unhex(F.sha2(text, 256)).alias("digest")))
         return both[0].unionByName(both[1])
 
     def duplicates(self) -> DataFrame:

@@ -1,4 +1,321 @@
 """Queries of the reconciliation operators over the test tables, with the SQL each must agree with."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindle.operators import reconcile
+from spindle.operators.frames import Frames, identity
+from spindle.operators.profile import summary as schema_counts
+from spindle.plans.cases import PROFILE_SQL, events, table, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = with_views(sql) if not sql.startswith("!") else sql[1:]
+        return run
+
+    return put
+
+
+# --- DataFrame lane --------------------------------------------------------------------------------------------------
+
+
+def _orders(spark: SparkSession, sf_dir: str, new: str = "orders_new", **kw) -> Frames:
+    return Frames(table(spark, sf_dir, "orders"), view(spark, sf_dir, new), "o_orderkey", **kw)
+
+
+def _pairs(old: str, new: str, keys: list[str], content: list[str]) -> str:
+    """SQL that classifies each identity of two relations."""
+    on = " AND ".join(f"o.{k} IS NOT DISTINCT FROM n.{k}" for k in keys)
+    same = " AND ".join(f"o.{c} IS NOT DISTINCT FROM n.{c}" for c in content) or "true"
+    key = ", ".join(f"CASE WHEN o.here THEN o.{k} ELSE n.{k} END AS {k}" for k in keys)
+    return f"""SELECT {key}, CASE WHEN o.here IS NULL THEN 'added' WHEN n.here IS NULL THEN 'deleted' WHEN {same} THEN 'equal' ELSE 'modified' END AS operation
+      FROM (SELECT *, true AS here FROM {old}) o FULL JOIN (SELECT *, true AS here FROM {new}) n ON {on}"""
+
+
+def _totals(pairs: str) -> str:
+    return "SELECT " + ", ".join(f"count(*) FILTER (operation = '{x}') AS {x}" for x in ("equal", "added", "deleted", "modified")) + f" FROM ({pairs})"
+
+
+_CONTENT = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_ORDERS = _pairs("orders", "orders_new", ["o_orderkey"], _CONTENT)
+
+
+@query("summary", _totals(_ORDERS))
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).summary()
+
+
+@query("changes_all", f"SELECT * FROM ({_ORDERS}) WHERE operation <> 'equal'")
+def changes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).changes()
+
+
+for _op in ("added", "deleted", "modified"):
+    query(f"changes_{_op}", f"SELECT * FROM ({_ORDERS}) WHERE operation = '{_op}'")(functools.partial(lambda spark, sf_dir, op: _orders(spark, sf_dir).changes(op), op=_op))
+
+
+@query("composite_key", f"SELECT * FROM ({_pairs('conversations', 'turns_new', ['conv_id', 'turn'], ['role', 'text'])}) WHERE operation <> 'equal'")
+def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Frames(table(spark, sf_dir, "conversations"), view(spark, sf_dir, "turns_new"), ["turn", "conv_id"]).changes()
+
+
+@query("null_key_component", f"SELECT * FROM ({_pairs('customer_old', 'customer_new', ['c_custkey', 'nk'], ['c_name', 'c_mktsegment'])}) WHERE operation <> 'equal'")
+def null_key_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Frames(view(spark, sf_dir, "customer_old"), view(spark, sf_dir, "customer_new"), ["c_custkey", "nk"]).changes()
+
+
+@query("ignore_fields", _totals(_pairs("orders", "orders_new", ["o_orderkey"], [c for c in _CONTENT if c not in ("o_totalprice", "o_orderpriority")])))
+def ignore_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, ignore=["/o_totalprice", "/o_orderpriority", "/absent"]).summary()
+
+
+@query("ignore_nested", "!SELECT event_id, 'modified' AS operation FROM events WHERE event_id % 4 = 0 AND event_type IS NOT NULL")
+def ignore_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two members of an object that change, one is ignored."""
+    e = table(spark, sf_dir, "events")
+    nested = lambda seen, kind: F.struct(seen.alias("at"), kind.alias("kind"))
+    old = e.select("event_id", nested(F.col("ts").cast("string"), F.col("event_type")).alias("meta"))
+    new = e.select("event_id", nested(F.lit("later"), F.when(F.col("event_id") % 4 == 0, F.concat("event_type", F.lit("2"))).otherwise(F.col("event_type"))).alias("meta"))
+    return Frames(old, new, "event_id", ignore=["/meta/at"]).changes()
+
+
+def _where(test: str, new: str = "orders_new") -> str:
+    return _pairs(f"(SELECT * FROM orders WHERE {test})", f"(SELECT * FROM {new} WHERE {test})", ["o_orderkey"], _CONTENT)
+
+
+@query("where_filter", _totals(_where("o_orderstatus = 'F' AND o_totalprice > 1000.5 OR contains(o_orderpriority, 'HIGH')")))
+def where_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, where="o_orderstatus == 'F' && o_totalprice > `1000.5` || contains(o_orderpriority, 'HIGH')").summary()
+
+
+@query("where_side_transition", f"SELECT * FROM ({_where(chr(39).join(['o_orderstatus = ', 'F', '']), 'flipped')}) WHERE operation <> 'equal'")
+def where_side_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record that only one side's filter selects counts as added or deleted."""
+    return _orders(spark, sf_dir, "flipped", where="o_orderstatus == 'F'").changes()
+
+
+@query("where_truthiness", _totals(_pairs("customer_old", "(SELECT * FROM customer_new WHERE c_name <> '')", ["c_custkey", "nk"], ["c_name", "c_mktsegment"])))
+def where_truthiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty string is false, and zero is true."""
+    return Frames(view(spark, sf_dir, "customer_old"), view(spark, sf_dir, "customer_new"), ["c_custkey", "nk"], where="c_name && c_custkey").summary()
+
+
+_LINE_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _lines(spark: SparkSession, sf_dir: str, policy: str) -> Frames:
+    return Frames(view(spark, sf_dir, "lines"), view(spark, sf_dir, "lines_new"), _LINE_KEYS, duplicates=policy, order="line", ignore=["/line"])
+
+
+def _selected(relation: str, end: str) -> str:
+    return f"(SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY line {end}) AS k FROM {relation}) WHERE k = 1)"
+
+
+for _policy, _end in (("first", "ASC"), ("last", "DESC")):
+    _sql = _pairs(_selected("lines", _end), _selected("lines_new", _end), _LINE_KEYS, ["l_returnflag", "l_linestatus"])
+    query(f"duplicates_{_policy}", f"SELECT * FROM ({_sql}) WHERE operation <> 'equal'")(functools.partial(lambda spark, sf_dir, p: _lines(spark, sf_dir, p).changes(), p=_policy))
+
+
+def _identity_sql(*keys: str) -> str:
+    return "'[' || " + " || ',' || ".join(keys) + " || ']'"
+
+
+@query("duplicate_counts", "SELECT side, CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT 0 AS side, count(*) AS n FROM lines GROUP BY l_orderkey, l_linenumber UNION ALL SELECT 1, count(*) FROM lines_new GROUP BY l_orderkey, l_linenumber) GROUP BY side")
+def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.duplicate_counts(_lines(spark, sf_dir, "first").records())
+
+
+_DUPLICATES = " UNION ALL ".join(
+    f"SELECT {side} AS side, {_identity_sql('l_linenumber', 'l_orderkey')} AS identity, s AS selected_line, line AS discarded_line, l_returnflag = f AND l_linestatus = t AS content_equal FROM (SELECT *, first_value(line) OVER w AS s, first_value(l_returnflag) OVER w AS f, first_value(l_linestatus) OVER w AS t FROM {name} WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY line)) WHERE line <> s"
+    for side, name in enumerate(("lines", "lines_new"))
+)
+
+
+@query("duplicate_records", _DUPLICATES)
+def duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, "first").duplicates().withColumn("identity", F.col("identity").cast("string"))
+
+
+@query("duplicate_error_detect", f"SELECT {_identity_sql('l_linenumber', 'l_orderkey')} AS identity, a[1] AS first, a[2] AS again FROM (SELECT l_orderkey, l_linenumber, list(line ORDER BY line) AS a FROM lines GROUP BY ALL HAVING count(*) > 1)")
+def duplicate_error_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconcile.repeated(_lines(spark, sf_dir, "first").records().where("side = 0"))
+    return found.select(F.col("identity").cast("string").alias("identity"), "first", "again")
+
+
+def _events(spark: SparkSession, sf_dir: str, **kw) -> Frames:
+    return Frames(events(spark, sf_dir, False), events(spark, sf_dir, True), "event_id", **kw)
+
+
+@query("schema_profile", "!" + PROFILE_SQL)
+def schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).profiles()
+
+
+_TYPES = "list_filter([CASE WHEN booleans > 0 THEN 'boolean' END, CASE WHEN integers > 0 THEN 'integer' END, CASE WHEN numbers > 0 THEN 'number' END, CASE WHEN strings > 0 THEN 'string' END, CASE WHEN objects > 0 THEN 'object' END, CASE WHEN arrays > 0 THEN 'array' END], lambda x: x IS NOT NULL)"
+
+
+def _schema_sql(drop: str = "true") -> str:
+    return f"""WITH p AS (SELECT *, {_TYPES} AS types FROM ({PROFILE_SQL}) WHERE {drop}), o AS (SELECT * FROM p WHERE side = 0), n AS (SELECT * FROM p WHERE side = 1),
+      b AS (SELECT coalesce(o.path, n.path) AS path, o.path IS NULL AS added, n.path IS NULL AS removed, o.types <> n.types AS t, (o.nulls > 0) <> (n.nulls > 0) AS u,
+        (o.parent_objects = o.present) <> (n.parent_objects = n.present) AS r FROM o FULL JOIN n ON o.path = n.path),
+      c AS (SELECT path, 'field_removed' AS operation FROM b WHERE removed UNION ALL SELECT path, 'field_added' FROM b WHERE added UNION ALL SELECT path, 'types_changed' FROM b WHERE t
+        UNION ALL SELECT path, 'nullability_changed' FROM b WHERE u UNION ALL SELECT path, 'requiredness_changed' FROM b WHERE r)"""
+
+
+@query("schema_changes", "!" + _schema_sql() + " SELECT path, operation FROM c")
+def schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).schema_changes().select("path", "operation")
+
+
+@query("schema_ignore", "!" + _schema_sql("path NOT IN ('/value', '/meta/raw')") + " SELECT path, operation FROM c")
+def schema_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, schema_ignore=["/value", "/meta/raw"]).schema_changes().select("path", "operation")
+
+
+_SCHEMA_COUNTS = "SELECT " + ", ".join(f"count(*) FILTER (operation = '{o}') AS {n}" for n, o in (("fields_added", "field_added"), ("fields_removed", "field_removed"), *((x, x) for x in ("types_changed", "nullability_changed", "requiredness_changed")))) + " FROM c"
+
+
+@query("schema_summary", "!" + _schema_sql() + " " + _SCHEMA_COUNTS)
+def schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_counts(_events(spark, sf_dir).schema_changes())
+
+
+_PATCH = """SELECT o.o_orderkey, 'replace' AS op, '/o_totalprice' AS path FROM orders o JOIN orders_new n USING (o_orderkey) WHERE o.o_totalprice IS DISTINCT FROM n.o_totalprice
+  UNION ALL SELECT o.o_orderkey, 'replace', '/o_orderpriority' FROM orders o JOIN orders_new n USING (o_orderkey) WHERE o.o_orderpriority IS DISTINCT FROM n.o_orderpriority"""
+
+
+@query("field_patch", _PATCH)
+def field_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).field_changes().select("o_orderkey", "op", "path")
+
+
+_FIELD_SUMMARY = f"SELECT path, count(*) FILTER (op = 'add') AS added, count(*) FILTER (op = 'remove') AS removed, count(*) FILTER (op = 'replace') AS replaced FROM ({_PATCH}) GROUP BY path"
+
+
+@query("field_summary", _FIELD_SUMMARY)
+def field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).field_summary()
+
+
+@query("canonical_order", "!SELECT p_partkey, '[' || p_partkey || ']' AS identity, row_number() OVER (ORDER BY '[' || p_partkey || ']') AS place FROM part")
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the order of identities, counted in parallel: within ranges, and by the sizes of the ranges before."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", identity(["p_partkey"]).alias("identity"))
+    ranged = rows.repartitionByRange(16, "identity").sortWithinPartitions("identity").select("*", F.monotonically_increasing_id().alias("m"))
+    ranged = ranged.select("*", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("within"))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return ranged.join(before, "part").select("p_partkey", F.col("identity").cast("string").alias("identity"), (F.col("within") + F.col("before") + 1).alias("place"))
+
+
+@query("fingerprint", """!SELECT p_partkey, CAST(strlen(c) AS BIGINT) AS length, sha256(c) AS digest
+  FROM (SELECT p_partkey, '{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || ',"p_type":"' || p_type || '"}' AS c FROM part)""")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").drop("p_retailprice")
+    found = Frames(part, part, "p_partkey").records().where("side = 0")
+    key = F.regexp_extract(F.col("identity").cast("string"), r"\[(.*)\]", 1).cast("long")
+    return found.select(key.alias("p_partkey"), "length", F.lower(F.hex("digest")).alias("digest"))
+
+
+# --- text lane -------------------------------------------------------------------------------------------------------
+
+
+def _written(df: DataFrame, order: list[str], one: bool = False) -> str:
+    """df as JSON lines in that order, in a new workspace; as one array if asked."""
+    from spindle.sources.workspace import Workspace
+
+    path = f"{Workspace(df.sparkSession).path}/source.jsonl"
+    text = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes)), {"ignoreNullFields": "false"})
+    rows = df.orderBy(*order).select(text.alias("value"))
+    if one:
+        rows = rows.agg(F.concat(F.lit("[ "), F.array_join(F.collect_list("value"), " ,\n"), F.lit(" ]\n")).alias("value"))
+    rows.write.text(path)
+    return path
+
+
+def _text(spark: SparkSession, old: DataFrame, new: DataFrame, key: str | list[str], **kw):
+    from spindle.result import diff
+
+    keys = [key] if isinstance(key, str) else key
+    one = kw.get("format") == "json"
+    order = [*keys, *([c for c in ("line",) if c in old.columns])]
+    return diff(_written(old, order, one), _written(new, order, one), key=key, spark=spark, **kw).__enter__()
+
+
+def _text_orders(spark: SparkSession, sf_dir: str, **kw):
+    return _text(spark, table(spark, sf_dir, "orders"), view(spark, sf_dir, "orders_new"), "o_orderkey", **kw)
+
+
+@query("text_summary", _totals(_ORDERS))
+def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.totals(_text_orders(spark, sf_dir).pairs_df)
+
+
+_OLD_LINES = "SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders"
+_NEW_LINES = "SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders_new"
+_LINED = f"SELECT '[' || p.o_orderkey || ']' AS identity, operation, o.line AS old_line, n.line AS new_line FROM ({_ORDERS}) p LEFT JOIN ({_OLD_LINES}) o USING (o_orderkey) LEFT JOIN ({_NEW_LINES}) n ON n.o_orderkey = p.o_orderkey WHERE operation <> 'equal'"
+
+
+@query("text_changes", _LINED)
+def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the lines of both sides, across the files that each was written to."""
+    found = _text_orders(spark, sf_dir).changes_df()
+    return found.withColumn("identity", F.col("identity").cast("string"))
+
+
+@query("text_field_patch", _PATCH.replace("o.o_orderkey, ", "'[' || o.o_orderkey || ']' AS identity, "))
+def text_field_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _text_orders(spark, sf_dir, field_diff=True).changes_df("modified")
+    return found.select(F.col("identity").cast("string").alias("identity"), F.explode("patch").alias("p")).select("identity", "p.op", "p.path")
+
+
+@query("text_field_summary", _FIELD_SUMMARY)
+def text_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_orders(spark, sf_dir, field_diff=True).field_summary_df()
+
+
+@query("text_where", _totals(_where("starts_with(o_orderpriority, '1') OR o_totalprice >= 400000 AND o_orderstatus <> 'P'")))
+def text_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.totals(_text_orders(spark, sf_dir, where="starts_with(o_orderpriority, '1') || max([o_totalprice, `0`]) >= `400000` && !contains(['P'], o_orderstatus)").pairs_df)
+
+
+@query("text_duplicates", f"SELECT * FROM ({_pairs(_selected('lines', 'DESC'), _selected('lines_new', 'DESC'), _LINE_KEYS, ['l_returnflag', 'l_linestatus'])}) WHERE operation <> 'equal'")
+def text_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _text(spark, view(spark, sf_dir, "lines"), view(spark, sf_dir, "lines_new"), _LINE_KEYS, duplicates="last", ignore=["/line"]).changes_df()
+    part = lambda k: F.regexp_extract(F.col("identity").cast("string"), r"\[(\d+),(\d+)\]", k)
+    return found.select(part(2).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"), "operation")
+
+
+@query("text_schema", "!" + _schema_sql() + " SELECT path, operation FROM c")
+def text_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _text(spark, events(spark, sf_dir, False), events(spark, sf_dir, True), "event_id", schema_diff=True)
+    return found.schema_changes_df().select("path", "operation")
+
+
+@query("text_array", _totals(_pairs("customer_old", "customer_new", ["c_custkey"], ["nk", "c_name", "c_mktsegment"])))
+def text_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that are one JSON array each."""
+    return reconcile.totals(_text(spark, view(spark, sf_dir, "customer_old"), view(spark, sf_dir, "customer_new"), "c_custkey", format="json").pairs_df)
+
+
+@query("details_events", f"""SELECT type, count(*) AS n FROM (SELECT 'change' AS type FROM ({_ORDERS}) WHERE operation <> 'equal'
+  UNION ALL SELECT 'field_summary' FROM ({_FIELD_SUMMARY}) UNION ALL SELECT 'meta' UNION ALL SELECT 'summary') GROUP BY type""")
+def details_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events of each type a full report has."""
+    from collections import Counter
+
+    from spindle.report import events as report
+
+    n = Counter(e["type"] for e in report(_text_orders(spark, sf_dir, field_diff=True, schema_diff=True)))
+    return spark.createDataFrame(sorted(n.items()), "type string, n long")

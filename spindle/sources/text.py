@@ -65,8 +65,9 @@ def prepare(source: Any, side: int, workspace: Workspace) -> str:
             if _suffix(path) == ".xz":
                 with lzma.open(path) as stream:
                     return workspace.stage(f"{SIDES[side]}.jsonl", _chunks(stream, side))
-            with open(path, "rb"):
-                pass
+            if not os.path.isdir(path):  # a folder is all of its files
+                with open(path, "rb"):
+                    pass
             return "file://" + re.sub(r"([*?\[\]{}\\])", r"\\\1", os.path.abspath(path))
         if urlsplit(name).scheme in ("http", "https"):
             with urlopen(name) as stream:  # noqa: S310
