@@ -29,7 +29,7 @@ from .common import as_text, spread, table
 #: Characters of a chunk before the overlap, and of the overlap.
 CHUNK, OVERLAP = 32_768, 512
 #: Pre-tokens whose ids a worker remembers. Bounds memory only: others are encoded again.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: The longest contraction that the pattern matches: nearer to the end of a chunk than this, a match may differ from the text's.
 MARGIN = 3
 
@@ -43,11 +43,9 @@ class Codec(dict):
     """Ids of pre-tokens, as bytes of 32-bit numbers, in a mapping that fills itself."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        import tiktoken
-
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.pattern = regex.compile(pattern)
-        self.of_piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
+        self.ranks, self.of_piece = table, None
         tokens = [b""] * (max(table.values(), default=-1) + 1)
         for token, k in table.items():
             tokens[k] = token
@@ -58,6 +56,10 @@ class Codec(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
+        if self.of_piece is None:  # a worker that only decodes never needs it
+            import tiktoken
+
+            self.of_piece = tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         ids = array("i", self.of_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         self[piece] = ids
         return ids
