@@ -92,8 +92,17 @@ class Index:
         return [(p * p).sum(1)[:, None] - 2 * p @ s.T + (s * s).sum(1) for p, s in zip(parts, self.sub, strict=True)]
 
 
-def fit(x: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES) -> Index:
-    coarse = kmeans(x, lists)
+def spaced(centres: np.ndarray, least: float) -> np.ndarray:
+    """The centres without those that are nearer than least to one before them, so a dense group has few lists, and its queries probe them all."""
+    kept = np.zeros((0, centres.shape[1]))
+    for c in centres:
+        if not len(kept) or ((kept - c) ** 2).sum(1).min() >= least * least:
+            kept = np.concatenate([kept, c[None]])
+    return kept
+
+
+def fit(x: np.ndarray, lists: int, least: float = 0.0, subspaces: int = SUBSPACES, codes: int = CODES) -> Index:
+    coarse = spaced(kmeans(x, lists), least)
     rest = x - coarse[nearest(x, coarse)[:, 0]]
     parts = np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1]))
     return Index(coarse, [kmeans(rest[:, p], codes, 5) for p in parts])
@@ -166,7 +175,8 @@ def links(vectors: DataFrame, id_col: str, vec_col: str, cosine: float = COSINE,
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     k = lists or int(np.clip(4 * np.sqrt(total), *LISTS))
-    shared = spark.sparkContext.broadcast(fit(x[np.random.default_rng(3).permutation(len(x))], k))
+    shared = spark.sparkContext.broadcast(fit(x[np.random.default_rng(3).permutation(len(x))], k, np.sqrt(2 - 2 * cosine)))
+    k = len(shared.value.coarse)
     probes = min(probes, len(shared.value.coarse))
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
