@@ -1,0 +1 @@
+"""The query catalog over the test tables."""

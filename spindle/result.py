@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +40,12 @@ def patched(pairs: DataFrame) -> DataFrame:
     """pairs with `patch`, worked out where both bodies are there and the operation is modified."""
 
     @F.pandas_udf(PATCH)
-    def patches(old, new):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def patches(old: pd.Series, new: pd.Series) -> pd.Series:
         rows = []
         for a, b in zip(old, new, strict=True):
             rows.append(None if a is None or b is None else [dict(zip(("op", "path", "old", "value"), x, strict=True)) for x in patch(canonical.decode(bytes(a)), canonical.decode(bytes(b)))])
         return pd.Series(rows)
 
-    patches.__annotations__ = {}
     return pairs.withColumn("patch", patches("old_body", "new_body"))
 
 

@@ -1,0 +1 @@
+"""Sources of JSON text, and the workspace that they are staged in."""

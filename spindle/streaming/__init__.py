@@ -1,0 +1 @@
+"""Empty on purpose: a comparison ends only when both sides have been read, and no operator is unbounded."""
