@@ -9,9 +9,11 @@ they pass the document's largest register, which for most shingles is after the
 
 Registers are banded; documents that share a band are candidates, and the similarity of candidates is taken
 exactly, from their texts. Documents with equal multisets form one class, whose least document stands
-for it. In each band's bucket all are compared with one leader, never all with all; buckets whose members
-are then not all connected get further leaders, and what few cross pairs remain are compared one by one,
-so no link between candidates is lost. Classes are the components of the links.
+for it. In each band's bucket all are compared with one leader, never all with all. Those that then are not
+connected with the leader may still be linked with others of the bucket; but one less similarity is a metric,
+so only with those whose similarity to the leader is as great, give or take 0.2, and sketches of how each
+differs from the leader bound how alike two can be. Pairs that pass both bounds are compared one by one, so no
+link between candidates is lost. Classes are the components of the links.
 
 Words are as everywhere here, A-Z lower-cased. Defined results: a text of one to four words is one shingle; a null
 text or one without words is alone; null ids sort before all ids; documents of one id stand and fall
@@ -33,8 +35,6 @@ from .substring import place, range_hash
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8, 24 bands of 4 registers miss one pair in 300,000.
 BANDS, ROWS = 24, 4
-#: Rounds of leaders before the remaining pairs of a bucket are compared one by one, however many.
-LEADERS = 6
 _HASH = np.uint64((1 << 44) - 1)
 
 
@@ -88,25 +88,47 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def similarities(a: list[bytes], b: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """Exact weighted Jaccard similarity of the shingle multisets of a[i] and b[i]."""
+def counts_of(a: list[bytes], b: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, ...]:
+    """(pair, shingle, count in a[pair], count in b[pair]) of each different shingle of each pair."""
     n = len(a)
     doc, h, count = shingles([*a, *b], k)
     pair, side = doc % n, doc >= n
     order = np.lexsort((h, pair))
     pair, h, side, count = pair[order], h[order], side[order], count[order]
-    same = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]) & (side[1:] != side[:-1]))
-    both = np.bincount(pair[same], np.minimum(count[same], count[same + 1]), minlength=n)
-    total = np.bincount(pair, count, minlength=n)
-    return both / np.maximum(total - both, 1)
+    new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (h[1:] != h[:-1])])) if len(pair) else np.zeros(0, dtype=np.int64)
+    if not len(new):
+        return pair, h, count, count
+    return pair[new], h[new], np.add.reduceat(np.where(side, 0, count), new), np.add.reduceat(np.where(side, count, 0), new)
+
+
+def similarities(a: list[bytes], b: list[bytes], k: int = SHINGLE) -> np.ndarray:
+    """Exact weighted Jaccard similarity of the shingle multisets of a[i] and b[i]."""
+    pair, _, x, y = counts_of(a, b, k)
+    return np.bincount(pair, np.minimum(x, y), minlength=len(a)) / np.maximum(np.bincount(pair, np.maximum(x, y), minlength=len(a)), 1)
+
+
+#: 64-bit words of a sketch of a difference.
+BITS = 16
+
+
+def differences(a: list[bytes], b: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, sketches): a sketch has a set bit for each shingle that b[i] holds more often than a[i], then a clear one for each that it holds less often."""
+    pair, h, x, y = counts_of(a, b, k)
+    s = np.bincount(pair, np.minimum(x, y), minlength=len(a)) / np.maximum(np.bincount(pair, np.maximum(x, y), minlength=len(a)), 1)
+    bits = np.zeros((len(a), 2 * BITS), dtype=np.uint64)
+    for at, which in ((0, y > x), (BITS, y < x)):
+        slot = h[which] % np.uint64(64 * BITS)
+        np.bitwise_or.at(bits, (pair[which], at + (slot // np.uint64(64)).astype(np.int64)), np.uint64(1) << (slot % np.uint64(64)))
+    bits[:, BITS:] = ~bits[:, BITS:]
+    return s, bits
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(place, a, b, bands) of each document with words: a and b are 128 bits of its multiset."""
+    """(place, a, b, n, bands) of each document with words: a and b are 128 bits of its multiset, n is its size."""
     texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1, 1 << 20):
+        for batch in small(batches, 1):
             doc, h, count = shingles(as_bytes(batch.column(1)))
             n = batch.num_rows
             has = np.bincount(doc, minlength=n) > 0
@@ -118,23 +140,41 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
             found = bands_of(bagminhash(doc, h, count, n, bands * rows), bands, rows).view(np.int64)[has]
             offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(has)), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], names=["place", "a", "b", "bands"]
+                [batch.column(0).filter(pa.array(has)), pa.array(keys[0]), pa.array(keys[1]), pa.array(np.bincount(doc, count, minlength=n).astype(np.int64)[has]), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], names=["place", "a", "b", "n", "bands"]
             )
 
-    return texts.mapInArrow(run, "place long, a long, b long, bands array<long>")
+    return texts.mapInArrow(run, "place long, a long, b long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (place, text) are similar enough, and those that are not: column linked."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity s of their texts (place, text), and a sketch d of how b differs from a."""
     one = pairs.join(texts.select(F.col("place").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(texts.select(F.col("place").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2, 1 << 20):
-            ok = similarities(as_bytes(batch.column(2)), as_bytes(batch.column(3))) >= similarity
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "linked"])
+        for batch in small(batches, 2):
+            s, bits = differences(as_bytes(batch.column(2)), as_bytes(batch.column(3)))
+            d = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * 2 * BITS), pa.array(bits.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), d], names=["a", "b", "s", "d"])
+
+    return stored(both.mapInArrow(run, "a long, b long, s double, d array<long>"))
+
+
+def may_link(similarity: float, some: tuple[int, ...] = ()):
+    """Whether p and q can be that similar, by their sizes and sketches against one leader, or by some words of these.
 
-    return stored(both.mapInArrow(run, "a long, b long, linked boolean"))
+    It errs on one side only: what is false cannot be linked. A bit that only one has is a shingle that it holds more often, so
+    the bits bound how much of each is not in the other. Some words are unrolled, so they are quick to compile; for all of
+    them that would make a method too large for the JVM to compile, so these are a loop.
+    """
+    beyond = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    pd, qd = F.col("pd"), F.col("qd")
+    if some:
+        only = lambda x, y: sum((beyond(x[i], y[i]) for i in some), F.lit(0))
+    else:
+        only = lambda x, y: F.aggregate(F.zip_with(x, y, beyond), F.lit(0), lambda n, k: n + k)
+    p_most, q_most = F.col("pn") - only(pd, qd), F.col("qn") - only(qd, pd)
+    return F.least(p_most, q_most) * (1 + similarity) >= (F.col("pn") + F.col("qn")) * similarity - 1e-6
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -142,7 +182,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     sketch = stored(sketches(docs, id_col, text_col, bands, rows))
     first = sketch.groupBy("a", "b").agg(F.min("place").alias("copy_of"))
     member = stored(sketch.select("place", "a", "b").join(first, ["a", "b"]).select("place", "copy_of").distinct())
-    heads = sketch.join(first, ["a", "b"]).where("place = copy_of").select("place", F.explode("bands").alias("key")).distinct()
+    heads = sketch.join(first, ["a", "b"]).where("place = copy_of").dropDuplicates(["place"]).select("place", F.col("n").alias("size"), F.posexplode("bands").alias("nth", "key"))
     heads = stored(heads)
     shared = heads.groupBy("key").agg(F.min("place").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = stored(heads.join(shared.select("key", "leader"), "key"))
@@ -151,29 +191,32 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     texts = stored(texts)
 
     pairs = buckets.where("place > leader").select(F.col("leader").alias("a"), F.col("place").alias("b")).distinct()
-    done = verified(pairs, texts, similarity)
-    label = components(done.where("linked").select("a", "b"))
-    for turn in range(LEADERS + 1):
-        of = F.coalesce("component", "place").alias("component")
-        open_ = buckets.select("key", "place").join(label.withColumnRenamed("node", "place"), "place", "left").select("key", "place", of)
-        split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min(F.xxhash64("place", F.lit(turn))).alias("pick")).where("lo < hi")
-        rest = open_.join(split.select("key", "n", "pick"), "key")
-        rest = stored(rest)
-        size = rest.agg(F.count("*").alias("rows"), F.sum("n").alias("pairs")).first()
-        if not size["rows"]:
-            break
-        # Pairs of each bucket, against a few for each member: one by one when they are few, else from one more leader.
-        last = turn == LEADERS or size["pairs"] <= 16 * size["rows"]
-        x = rest.select("key", F.col("place").alias("p"), F.col("component").alias("c"))
-        y = rest.select("key", F.col("place").alias("q"), F.col("component").alias("d"), F.xxhash64("place", F.lit(turn)).alias("h"), "pick")
-        y = y if last else y.where("h = pick")
-        cross = x.join(y.drop("h", "pick"), "key").where("c <> d").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        cross = cross.join(done, ["a", "b"], "left_anti")
-        more = verified(cross, texts, similarity)
-        done = stored(done.unionAll(more))
-        label = components(done.where("linked").select("a", "b"))
-        if last:
-            break
+    done = compared(pairs, texts)
+    linked = lambda df: components(df.where(F.col("s") >= similarity).select("a", "b"))
+    label = linked(done)
+
+    of = lambda name: label.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
+    scored = buckets.join(done.select(F.col("a").alias("leader"), F.col("b").alias("place"), "s", "d"), ["leader", "place"], "left")
+    scored = scored.join(of("place"), "place", "left").join(of("leader"), "leader", "left")
+    component = F.coalesce("place_c", "place")
+    scored = stored(scored.select("key", "nth", "place", component.alias("c"), F.coalesce("s", F.lit(1.0)).alias("s"), "size", F.coalesce("d", F.array(*[F.lit(0).cast("long")] * BITS, *[F.lit(-1).cast("long")] * BITS)).alias("d"), (component != F.coalesce("leader_c", "leader")).alias("apart")))
+    # Pairs of which one is apart from the leader, by slots of similarity to the leader: a link spans two at most.
+    width = 1 - similarity + 1e-9
+    slot = F.floor(F.col("s") / width)
+    open_ = scored.join(scored.where("apart").select("key").distinct(), "key", "left_semi")
+    open_ = stored(open_.join(sketch.select("place", "bands").dropDuplicates(["place"]), "place"))
+    short = {"place": "", "c": "c", "s": "s", "size": "n", "d": "d", "bands": "b", "apart": "x"}
+    named = lambda df, side: df.select("key", "nth", "slot", *(F.col(c).alias(side + n) for c, n in short.items()))
+    x = named(open_.where("apart").withColumn("slot", slot), "p")
+    y = named(open_.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))), "q").drop("nth")
+    near = (F.col("pc") != F.col("qc")) & (F.abs(F.col("ps") - F.col("qs")) <= width) & (~F.col("qx") | (F.col("p") < F.col("q"))) & may_link(similarity, (0, 1, BITS, BITS + 1))
+    # A pair is judged in the first of the buckets that it shares.
+    near &= ~F.arrays_overlap(F.slice("pb", F.lit(1), F.col("nth")), F.slice("qb", F.lit(1), F.col("nth")))
+    near &= may_link(similarity)
+    cross = x.join(y, ["key", "slot"]).where(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    more = compared(cross.join(done, ["a", "b"], "left_anti"), texts)
+    if not more.where(F.col("s") >= similarity).isEmpty():
+        label = linked(done.unionAll(more))
     group = member.join(label.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
     return group.select("place", "copy_of", F.coalesce("component", "copy_of").alias("class"))
 
