@@ -39,7 +39,41 @@ def quoted(text: str) -> str:
     return '"' + _ESCAPED.sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", text) + '"'
 
 
+#: Stands before a number that the quick encoder writes as a string. No text that can be written holds it, as it has no UTF-8.
+_MARK = "\udfff"
+_MARKED = re.compile(f'"{_MARK}([^"]*)"')
+
+
+class _Quick(json.JSONEncoder):
+    """The standard encoder; it knows no Decimal, so these pass through default()."""
+
+    def __init__(self) -> None:
+        super().__init__(sort_keys=True, ensure_ascii=False, separators=(",", ":"), check_circular=False)
+        self.numbers = 0
+
+    def default(self, o: Any) -> str:
+        if type(o) is not Decimal:
+            return super().default(o)
+        self.numbers += 1
+        return _MARK + str(o)
+
+
 def encode(value: Any, ordered: bool = True) -> str:
+    """JSON of a value. Quick where the standard encoder will do, else by the walk below, which gives the same text."""
+    if ordered:
+        quick = _Quick()
+        try:
+            text = quick.encode(value)
+        except RecursionError:
+            return walk(value, True)
+        if not quick.numbers and _MARK not in text:
+            return text
+        if text.count(_MARK) == quick.numbers:
+            return _MARKED.sub(r"\1", text)
+    return walk(value, ordered)
+
+
+def walk(value: Any, ordered: bool) -> str:
     out: list[str] = []
     todo: list[Any] = [value]
     text = out.append

@@ -114,6 +114,7 @@ def run(rows: DataFrame, side: int, options: Options, array_errors: bool = False
         for batch in batches:
             out: list[dict] = []
             fields, objects = {}, {}
+            lines, identities, lengths, digests, bodies = [], [], [], [], []
             for line, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row = {"kind": "error", "side": side, "line": line}
                 if array_errors and line == 0:
@@ -127,9 +128,19 @@ def run(rows: DataFrame, side: int, options: Options, array_errors: bool = False
                 if found is not None:
                     identity, content = found
                     length, digest = canonical.fingerprint(content)
-                    out.append(row | {"kind": "record", "identity": identity, "length": length, "digest": digest, "body": content if options.field_diff else None})
+                    lines.append(line)
+                    identities.append(identity)
+                    lengths.append(length)
+                    digests.append(digest)
+                    bodies.append(content if options.field_diff else None)
             out += [{"kind": "field", "side": side, "path": p, "parent": q, "counts": n} for (p, q), n in fields.items()]
             out += [{"kind": "object", "side": side, "path": p, "counts": [n]} for p, n in objects.items()]
+            if lines:
+                held = {"line": lines, "identity": identities, "length": lengths, "digest": digests, "body": bodies}
+                fixed = {"kind": "record", "side": side}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held[f.name], f.type) if f.name in held else pa.repeat(pa.scalar(fixed.get(f.name), f.type), len(lines)) for f in _ARROW], schema=_ARROW
+                )
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 

@@ -30,6 +30,18 @@ def test_canonical_text_reads_back(value):
     assert canonical.canonical(canonical.decode(text)) == text
 
 
+@given(values)
+def test_quick_and_slow_encoders_agree(value):
+    assert canonical.encode(value) == canonical.walk(value, True)
+
+
+def test_marks_cannot_be_forged():
+    for forged in (["\udfff1"], ["\udfff1", Decimal("2.0")], {"\udfff": Decimal("2.0")}):
+        assert canonical.encode(forged) == canonical.walk(forged, True)
+        with pytest.raises(UnicodeEncodeError):
+            canonical.canonical(forged)
+
+
 def test_deep_values_need_no_stack():
     value = 1
     for _ in range(5000):
