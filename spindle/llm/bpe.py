@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import as_text, spread, table
+from .common import as_text, give_back, spread, table
 
 #: Characters of a chunk before the overlap, and of the overlap.
 CHUNK, OVERLAP = 32_768, 512
@@ -114,10 +114,11 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 ids = lists([c.encode(t) for t in as_text(part.column(1))])
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
+        give_back()
 
     short = rows.where(~long).mapInArrow(run, T.StructType([id_field, ids_field]))
 
@@ -176,9 +177,10 @@ def decode(encoded: DataFrame, ids_col: str, ranks: bytes, pattern: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 yield pa.RecordBatch.from_arrays([*part.columns, c.decode(part.column(at))], names=[*part.schema.names, "decoded"])
+        give_back()
 
     return encoded.mapInArrow(run, schema)
 

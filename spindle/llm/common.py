@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -50,7 +52,10 @@ def scratch(spark: SparkSession) -> str:
             _LOCAL["dir"] = tempfile.mkdtemp(prefix="spindle-")
             atexit.register(shutil.rmtree, _LOCAL["dir"], True)
         base = "file://" + _LOCAL["dir"]
-    return f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):  # what is elsewhere is the cluster's to clear
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -88,8 +93,8 @@ def as_text(column: pa.Array) -> list[str | None]:
         return [b if b is None else b.decode("utf-8", "replace") for b in as_bytes(column)]
 
 
-def small(batches: Iterator[pa.RecordBatch], column: int | str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column holds about limit bytes in each, one row at least."""
+def small(batches: Iterator[pa.RecordBatch], column: int | str, limit: int = 3 << 18) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column holds about limit bytes in each, one row at least. Freed memory goes back when they end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -98,6 +103,15 @@ def small(batches: Iterator[pa.RecordBatch], column: int | str, limit: int = 2 <
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps a worker for later tasks, and what it holds counts until then."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # --- hashes of words, many at a time ---------------------------------------------------------------------------------
@@ -125,7 +139,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n // 65_536) * 65_536
         _POWERS[:] = [np.multiply.accumulate(np.full(size, b, dtype=np.uint64)) for b in (_BASE, _INVERSE)]
     return _POWERS[0], _POWERS[1]
 

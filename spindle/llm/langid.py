@@ -124,7 +124,7 @@ def predict(docs: DataFrame, text_col: str, model: Model | None, pred: str = "la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in small(batches, at, 1 << 20):
+        for batch in small(batches, at, 1 << 18):
             texts = as_bytes(batch.column(at))
             ok = np.array([t is not None and m is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], dtype=bool)
             names, values = ["und"] * len(texts), np.zeros(len(texts))

@@ -191,7 +191,7 @@ def count_words(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(np.add.reduceat(n, new)), pa.array(k[new])], names=["h", "n", "tail"])
 
-        for batch in small(batches, 0, 1 << 20):
+        for batch in small(batches, 0):
             w = Words(as_bytes(batch.column(0)), lower=True)
             h, at, n = np.unique(signed(w.hash), return_index=True, return_counts=True)
             held.append((np.append(h, _END_HASH), np.append(n, batch.num_rows), np.append(tail_class(w)[at], -1)))
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, train: Column, text_col: str, vocab: Vocabulary) -> M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model, log_noise = shared.value
         model, state, tokens = model.like(model.flat().copy()), {}, 0
-        for batch in small(batches, 0, 1 << 20):
+        for batch in small(batches, 0):
             w = Words(as_bytes(batch.column(0)), lower=True)
             one, two, target, _ = sequences(w, symbols_of(w, v)[0], v.total - 1)
             order = np.random.default_rng(len(target)).permutation(len(target))
@@ -283,7 +283,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, parts: int = 7) -> DataFr
         ten = np.log(10.0)
         base_of = np.log10((v.counts + 1) / (v.n + v.v + 1)) if len(v.counts) else np.zeros(1)
         end_base = np.log10((v.end + 1) / (v.n + v.v + 1))
-        for batch in small(batches, 2, 1 << 20):
+        for batch in small(batches, 2):
             texts = batch.num_rows
             w = Words(as_bytes(batch.column(2)), lower=True)
             symbol, at, known = symbols_of(w, v)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, table
+from .common import as_text, give_back, table
 
 #: Kinds of base findings in the order of the digest, then the network's.
 KINDS = ("assign", "access", "hex", "model")
@@ -279,6 +279,7 @@ def scan(docs: DataFrame, text_col: str, net: Network | None, out: str = "spans"
                 part = batch.slice(k, 512)
                 spans = pa.array(scan_texts(as_text(part.column(at)), shared.value), type=pa.list_(_ARROW_SPAN))
                 yield pa.RecordBatch.from_arrays([*part.columns, spans], names=[*part.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
