@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -21,6 +22,8 @@ from spindle.operators import index, profile, reconcile
 from spindle.sources import text
 from spindle.sources.workspace import Workspace
 
+#: Signs that Spark could not read a source, such as a broken archive.
+UNREADABLE = ("READ_FAILED", "FAILED_READ_FILE", "EOFException", "ZipException", "IOException")
 PATCH = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "path", "old", "value")]))
 
 
@@ -78,19 +81,19 @@ class DiffResult:
             self._workspace.close()
 
     def _build(self) -> None:
-        sides = []
-        for side, source in enumerate(self._sources):
-            path = text.prepare(source, side, self._workspace)
-            rows = text.lines(self._spark, path) if self.options.format == "jsonl" else text.array_elements(self._spark, path)
-            # Each side is read and checked on its own, OLD first, so OLD's faults are told before NEW's.
-            try:
-                found = self._workspace.store(f"index-{side}", index.run(rows, side, self.options, self.options.format == "json"))
-            except Exception as error:
-                if "READ_FAILED" in str(error) or "EOFException" in str(error) or "ZipException" in str(error) or "IOException" in str(error):
-                    raise InputError("invalid input (OSError)", SIDES[side]) from error
-                raise ResourceError("could not build the temporary index") from error
-            self._fail_on_errors(found, side)
-            sides.append(found)
+        old = text.prepare(self._sources[0], 0, self._workspace)
+        try:
+            new, failure = text.prepare(self._sources[1], 1, self._workspace), None
+        except InputError as error:  # OLD's faults are told first
+            new, failure = None, error
+        with ThreadPoolExecutor(2) as pool:  # both sides' jobs run at once
+            running = [pool.submit(self._index, side, path) for side, path in enumerate((old, new)) if path is not None]
+            sides = []
+            for side, one in enumerate(running):
+                sides.append(one.result())
+                self._fail_on_errors(sides[-1], side)
+        if failure is not None:
+            raise failure
         self.index_df = sides[0].unionByName(sides[1])
         body = ["body"] if self.options.field_diff else []
         self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", "length", "digest", *body)
@@ -109,6 +112,15 @@ class DiffResult:
             schema = SchemaSummary(**profile.summary(self.schema_df).first().asDict())
         self._summary = Summary(counts["equal"], counts["added"], counts["deleted"], counts["modified"], extra.get(0, 0), extra.get(1, 0), schema)
 
+    def _index(self, side: int, path: str) -> DataFrame:
+        rows = text.lines(self._spark, path) if self.options.format == "jsonl" else text.array_elements(self._spark, path)
+        try:
+            return self._workspace.store(f"index-{side}", index.run(rows, side, self.options, self.options.format == "json"))
+        except Exception as error:
+            if any(sign in str(error) for sign in UNREADABLE):
+                raise InputError("invalid input (OSError)", SIDES[side]) from error
+            raise ResourceError("could not build the temporary index") from error
+
     def _fail_on_errors(self, found: DataFrame, side: int) -> None:
         first = found.where("kind = 'error'").agg(F.min(F.struct(F.coalesce("line", F.lit(2**62)).alias("at"), "line", "message")).alias("e")).first()["e"]
         if first is not None:

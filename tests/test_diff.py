@@ -118,6 +118,17 @@ def test_sources(spark, tmp_path, pack):
         assert (r.added, r.deleted, r.modified) == (1, 1, 2)
 
 
+def test_broken_sources(spark, lines, tmp_path):
+    """OLD's faults come first, whatever is wrong with NEW; a broken archive is an unreadable source."""
+    with pytest.raises(InputError, match="OLD at line 1"), diff(lines("o.jsonl", ["{"]), tmp_path / "absent", key="id", spark=spark):
+        pass
+    with pytest.raises(InputError, match="FileNotFoundError.*NEW"), diff(lines("o.jsonl", ['{"id":1}']), tmp_path / "absent", key="id", spark=spark):
+        pass
+    (tmp_path / "n.jsonl.gz").write_bytes(b"no archive")
+    with pytest.raises(InputError, match="NEW"), diff(lines("o.jsonl", ['{"id":1}']), tmp_path / "n.jsonl.gz", key="id", spark=spark):
+        pass
+
+
 def test_streams_http_and_arrays(spark, tmp_path):
     (tmp_path / "new.json").write_text("[" + ",\n".join(NEW) + "]")
     server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=tmp_path))
