@@ -5,7 +5,8 @@ Candidates are the findings of the base rules and every long run of token charac
 with letters. The network is trained on labelled findings: base findings and generated secrets of usual
 shapes against ordinary runs of the corpus and generated look-alikes (numbers, dates, paths, versions,
 identifiers). Its logits are calibrated by Platt scaling on findings held out of the training, and the
-threshold is the highest one that keeps the wanted recall of them.
+threshold is the highest one that keeps the wanted recall of those held out that only the network can find: the
+base rules' own findings need none. The precision that results on what was held out is told with the network.
 
 Base findings always stay; the network adds spans of kind `model`, which never overlap a base span.
 Spans are in code points, end exclusive. Defined results: a null or empty text has no spans; bytes that are
@@ -44,8 +45,6 @@ SAMPLE = 2000
 RECALL = 0.98
 #: Half of the sample is texts that hold one of these, so that it has findings. What is found does not depend on them.
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "PASSWORD", "SECRET", "TOKEN", "API_KEY", "Password", "Token", "AKIA")
-#: A finding is added only at this calibrated probability or more, whatever the recall asks for.
-LEAST_PROBABILITY = 0.9
 
 
 def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
@@ -108,6 +107,8 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 1.1
+    #: Of what was held out and reaches the threshold, the share that is secret and that only the network finds.
+    precision: float | None = None
 
     @classmethod
     def new(cls, filters: int = 32, hidden: int = 24, span: int = 5, seed: int = 7) -> Network:
@@ -151,12 +152,13 @@ class Network:
             getattr(self, name)[...] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def train(positive: list[tuple[bytes, bytes, bytes]], negative: list[tuple[bytes, bytes, bytes]], recall: float = RECALL, epochs: int = 6) -> Network:
-    """Every fifth finding is held out for calibration and for the threshold."""
-    x = features(positive + negative)
-    y = np.array([1.0] * len(positive) + [0.0] * len(negative), dtype=np.float32)
-    order = np.random.default_rng(11).permutation(len(y))
-    x, y = x[order], y[order]
+def train(positive: list[tuple[bytes, bytes, bytes]], negative: list[tuple[bytes, bytes, bytes]], added: list[tuple[bytes, bytes, bytes]], recall: float = RECALL, epochs: int = 6) -> Network:
+    """Every fifth finding is held out for calibration, and of added ones, which only the network can find, for the threshold."""
+    x = features(positive + negative + added)
+    kind = np.repeat([1, 0, 2], [len(positive), len(negative), len(added)])
+    order = np.random.default_rng(11).permutation(len(kind))
+    x, kind = x[order], kind[order]
+    y = (kind > 0).astype(np.float32)
     held = np.arange(len(y)) % 5 == 0
     net, state = Network.new(), {}
     xt, yt = x[~held], y[~held]
@@ -168,8 +170,11 @@ def train(positive: list[tuple[bytes, bytes, bytes]], negative: list[tuple[bytes
     z, t = net.logits(x[held]), y[held]
     if 0 < t.sum() < len(t):
         net.scale, net.shift = platt(z, t)
-        p = net.probability(x[held])
-        net.threshold = max(LEAST_PROBABILITY, float(np.quantile(p[t == 1], 1 - recall, method="lower")))
+        p, k = net.probability(x[held]), kind[held]
+        if (k == 2).any():
+            net.threshold = float(np.quantile(p[k == 2], 1 - recall, method="lower"))
+            right, wrong = (p[k == 2] >= net.threshold).sum(), (p[k == 0] >= net.threshold).sum()
+            net.precision = float(right / (right + wrong))
     return net
 
 
@@ -232,7 +237,7 @@ def fit_on(texts: list[bytes], sample: int = SAMPLE) -> Network:
         if len(words) < 5000:
             words += re.findall(rb"[A-Za-z]{2,12}", raw[:2000])
     p, n = generated(800, words)
-    return train(positive[:sample] + p, negative[:sample] + n)
+    return train(positive[:sample], negative[:sample] + n, p)
 
 
 # --- scanning --------------------------------------------------------------------------------------------------------

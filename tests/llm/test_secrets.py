@@ -73,3 +73,17 @@ def test_learning_and_redaction(spark, docs):
     again = secrets.scan(done.select("doc_id", "text"), "text", None)
     assert again.where("size(spans) > 0").count() == 0
     assert secrets.learn(df.limit(0), "text") is not None
+
+
+def test_the_threshold_follows_from_the_recall_alone(net):
+    """Look-alikes among the secrets bring the threshold down as far as the recall asks, and easy base findings do not count for it."""
+    import numpy as np
+
+    p, n = secrets.generated(150, [], seed=3)
+    easy = [(b"x ", b"0123456789abcdef", b" y")] * 1000
+    hard = secrets.train(easy, n, [*p, *n[:40]])
+    kind = np.repeat([1, 0, 2], [len(easy), len(n), len(p) + 40])[np.random.default_rng(11).permutation(len(easy) + len(n) + len(p) + 40)]
+    found = secrets.features([*easy, *n, *p, *n[:40]])[np.random.default_rng(11).permutation(len(kind))]
+    of_net = hard.probability(found[(np.arange(len(kind)) % 5 == 0) & (kind == 2)])
+    assert (of_net >= hard.threshold).mean() >= secrets.RECALL and hard.threshold < 0.9
+    assert 0 < hard.precision < 1 and net.precision > 0.9
