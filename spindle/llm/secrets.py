@@ -38,7 +38,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 #: A candidate of the network's own: at least so many token characters, among them digits and letters.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
 CANDIDATE_LEAST = 20
-#: Bytes of a candidate and of its context on either side that the network sees.
+#: Bytes of a candidate and of its context on either side that the network sees at once. A longer candidate is seen in
+#: windows that overlap by half, and its most probable window counts.
 SEEN, CONTEXT = 48, 16
 #: Findings learned from, of the corpus and generated, at most: a bound on the sample the classifier is fitted on.
 SAMPLE = 2000
@@ -91,8 +92,15 @@ def features(windows: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
     return out
 
 
-def window(raw: bytes, a: int, b: int) -> tuple[bytes, bytes, bytes]:
-    return raw[max(0, a - CONTEXT) : a], raw[a : min(b, a + SEEN)], raw[b : b + CONTEXT]
+def windows(raw: bytes, a: int, b: int) -> list[tuple[bytes, bytes, bytes]]:
+    """(before, seen part, after) of each window of raw[a:b]; the last one ends where it does."""
+    starts = [*range(a, b - SEEN, SEEN // 2), max(a, b - SEEN)]
+    return [(raw[max(0, x - CONTEXT) : x], raw[x : min(b, x + SEEN)], raw[min(b, x + SEEN) : min(b, x + SEEN) + CONTEXT]) for x in starts]
+
+
+def best(p: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The greatest of each run of counts[i] probabilities."""
+    return np.maximum.reduceat(p, np.cumsum([0, *counts[:-1]])) if counts else p
 
 
 @dataclass
@@ -153,7 +161,7 @@ class Network:
 
 
 def train(positive: list[tuple[bytes, bytes, bytes]], negative: list[tuple[bytes, bytes, bytes]], added: list[tuple[bytes, bytes, bytes]], recall: float = RECALL, epochs: int = 6) -> Network:
-    """Every fifth finding is held out for calibration, and of added ones, which only the network can find, for the threshold."""
+    """Every fifth window is held out for calibration, and of added ones, which only the network can find, for the threshold."""
     x = features(positive + negative + added)
     kind = np.repeat([1, 0, 2], [len(positive), len(negative), len(added)])
     order = np.random.default_rng(11).permutation(len(kind))
@@ -195,12 +203,17 @@ _BASE64 = np.concatenate([_ALPHANUMERIC, np.frombuffer(b"+/", dtype=np.uint8)])
 
 
 def generated(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list]:
-    """Labelled examples of usual shapes in contexts of corpus words."""
+    """n secrets of usual shapes and n look-alikes in contexts of corpus words."""
+    return examples(n, words, seed)[:2]
+
+
+def examples(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list, list]:
+    """(secrets, look-alikes, harmless windows of the runs they are in)."""
     rng = np.random.default_rng(seed)
     words = words or [b"the", b"value", b"of"]
     word = lambda: words[rng.integers(len(words))]
     draw = lambda chars, k: bytes(rng.choice(chars, k))
-    positive, negative = [], []
+    positive, negative, around = [], [], []
     for i in range(n):
         k = int(rng.integers(20, 49))
         secret = [draw(_ALPHANUMERIC, k), draw(_BASE64, k) + b"=" * int(rng.integers(0, 3)), b"ghp_" + draw(_ALPHANUMERIC, 36), b"sk_live_" + draw(_ALPHANUMERIC, 24), b"eyJ" + draw(_ALPHANUMERIC, k)][i % 5]
@@ -209,9 +222,18 @@ def generated(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list]:
             b"2024-0%d-1%dT%d" % (rng.integers(1, 10), rng.integers(10), rng.integers(10**10)), b"-".join(word() for _ in range(4)) + b"-v%d" % rng.integers(10), word() * 4 + b"%d" % rng.integers(1000), b"-" * int(rng.integers(18, 30)) + b"%d" % rng.integers(10**3),
         ][i % 7]
         before, after = (word() + b" " + word() + [b" ", b": ", b' "', b"="][int(rng.integers(4))])[-CONTEXT:], (b" " + word() + b" " + word())[:CONTEXT]
-        positive.append((before, secret[:SEEN], after))
-        negative.append((before, plain[:SEEN], after))
-    return positive, negative
+        # Every third is the end, or a middle part, of a longer run, as a key in a path is. The window that shows most of the secret is a finding, and those that show none of it are none.
+        start = b"" if i % 3 else b"/".join([b"", *(word() for _ in range(int(rng.integers(1, 14))))]) + [b"/", b"=", b"-"][int(rng.integers(3))]
+        end = b"" if i % 6 else b"/" + b"/".join(word() for _ in range(int(rng.integers(1, 8))))
+        raw = before + start + secret + end + after
+        a, b = len(before), len(before + start + secret + end)
+        seen = [(max(0, min(x + SEEN, a + len(start + secret)) - max(x, a + len(start))), w) for x, w in zip([*range(a, b - SEEN, SEEN // 2), max(a, b - SEEN)], windows(raw, a, b), strict=True)]
+        positive.append(max(seen, key=lambda w: w[0])[1])
+        around += [w for n_seen, w in seen if not n_seen]
+        first, *others = windows(before + plain + after, len(before), len(before + plain))
+        negative.append(first)
+        around += others
+    return positive, negative, around
 
 
 def learn(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> Network:
@@ -229,15 +251,15 @@ def fit_on(texts: list[bytes], sample: int = SAMPLE) -> Network:
     for raw in texts:
         found = base_spans(raw)
         if len(positive) < sample:
-            positive += [window(raw, a, b) for a, b, _ in found]
+            positive += [windows(raw, a, b)[0] for a, b, _ in found]
         if len(negative) < sample:
             for m in re.finditer(rb"[A-Za-z0-9+/_=-]{8,}", raw):
                 if len(negative) < sample and not any(s < m.end() and m.start() < e for s, e, _ in found):
-                    negative.append(window(raw, *m.span()))
+                    negative += windows(raw, *m.span())
         if len(words) < 5000:
             words += re.findall(rb"[A-Za-z]{2,12}", raw[:2000])
-    p, n = generated(800, words)
-    return train(positive[:sample], negative[:sample] + n, p)
+    p, n, around = examples(800, words)
+    return train(positive[:sample], negative[:sample] + n + around, p)
 
 
 # --- scanning --------------------------------------------------------------------------------------------------------
@@ -248,19 +270,21 @@ _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", p
 
 def scan_texts(texts: list[str | None], net: Network | None) -> list[list[dict]]:
     """Spans of each text by start, then kind. Base findings have no probability."""
-    found, asked, windows = [], [], []
+    found, asked, seen = [], [], []
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace")
         base = base_spans(raw)
         found.append((raw, [(a, b, k, None) for a, b, k in base]))
         if net is not None and len(raw) >= CANDIDATE_LEAST:
             for a, b in candidates(raw, base):
-                asked.append((i, a, b))
-                windows.append(window(raw, a, b))
-    for k in range(0, len(windows), 1024):
-        for (i, a, b), p in zip(asked[k : k + 1024], net.probability(features(windows[k : k + 1024])).tolist(), strict=True):
-            if p >= net.threshold:
-                found[i][1].append((a, b, 3, p))
+                shown = windows(raw, a, b)
+                asked.append((i, a, b, len(shown)))
+                seen += shown
+    if asked:
+        p = np.concatenate([net.probability(features(seen[k : k + 1024])) for k in range(0, len(seen), 1024)])
+        for (i, a, b, _), most in zip(asked, best(p, [n for *_, n in asked]).tolist(), strict=True):
+            if most >= net.threshold:
+                found[i][1].append((a, b, 3, most))
     out = []
     for raw, spans in found:
         at, seen, rows = 0, 0, []

@@ -87,3 +87,12 @@ def test_the_threshold_follows_from_the_recall_alone(net):
     of_net = hard.probability(found[(np.arange(len(kind)) % 5 == 0) & (kind == 2)])
     assert (of_net >= hard.threshold).mean() >= secrets.RECALL and hard.threshold < 0.9
     assert 0 < hard.precision < 1 and net.precision > 0.9
+
+
+def test_a_long_candidate_is_seen_to_its_end(net):
+    text = "see /srv/app/releases/current/config/production/api/v2/keys/ghp_a8Kd02LmQz71XvT9bYwPn4RrE6JtUc3HsO5i for now"
+    parts = secrets.windows(text.encode(), 4, 100)
+    assert parts[0][1].startswith(b"/srv") and parts[-1][1] + parts[-1][2] == text.encode()[52:116] and all(len(p[1]) == secrets.SEEN for p in parts)
+    assert [text[s["start"] : s["end"]] for s in secrets.scan_texts([text], net)[0]] == [text.split()[1]]
+    plain = "see /srv/app/releases/current/config/production/letters/harbour/meadow/keys/edition/report-2024 for now"
+    assert not secrets.scan_texts([plain], net)[0]
