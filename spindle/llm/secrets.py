@@ -1,14 +1,14 @@
 """Secret scans.
 
 Method: a character convolutional network in numpy scores every candidate with its surrounding context.
-Candidates are the findings of the base rules and every long run of token characters that mixes digits
-with letters. The network is trained on labelled findings: base findings and generated secrets of usual
+Candidates are the findings of the base rules and every run of 12 token characters or more. The network is trained on labelled findings: base findings and generated secrets of usual
 shapes against ordinary runs of the corpus and generated look-alikes (numbers, dates, paths, versions,
 identifiers). Its logits are calibrated by Platt scaling on findings held out of the training, and the
 threshold is the highest one that keeps the wanted recall of those held out that only the network can find: the
 base rules' own findings need none. The precision that results on what was held out is told with the network.
 
-Base findings always stay; the network adds spans of kind `model`, which never overlap a base span.
+Base findings always stay; the network adds spans of kind `model`, which never overlap a base span: of a run that
+base spans cover in part, it judges the whole, and adds the parts outside them.
 Spans are in code points, end exclusive. Defined results: a null or empty text has no spans; bytes that are
 not UTF-8 count as U+FFFD; repeated rows each give a row; extra columns are ignored.
 """
@@ -35,9 +35,9 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
-#: A candidate of the network's own: at least so many token characters, among them digits and letters.
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
-CANDIDATE_LEAST = 20
+#: A candidate of the network's own: at least so many token characters, as few as a base finding has.
+CANDIDATE_LEAST = 12
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LEAST)
 #: Bytes of a candidate and of its context on either side that the network sees at once. A longer candidate is seen in
 #: windows that overlap by half, and its most probable window counts.
 SEEN, CONTEXT = 48, 16
@@ -58,13 +58,20 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidates(raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Long runs of token characters with digits and letters, outside taken spans."""
+    """Runs of token characters, but for those wholly within taken spans."""
+    return [m.span() for m in CANDIDATE.finditer(raw) if outside(*m.span(), taken)]
+
+
+def outside(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a to b that no taken span covers; taken is in order of starts."""
     out = []
-    for m in CANDIDATE.finditer(raw):
-        a, b = m.span()
-        if b - a >= CANDIDATE_LEAST and not m[0].isdigit() and not any(s < b and a < e for s, e, _ in taken):
-            out.append((a, b))
-    return out
+    for s, e, _ in taken:
+        if s >= b:
+            break
+        if s > a:
+            out.append((a, s))
+        a = max(a, e)
+    return [*out, (a, b)] if a < b else out
 
 
 # --- the network -----------------------------------------------------------------------------------------------------
@@ -92,15 +99,20 @@ def features(windows: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
     return out
 
 
-def windows(raw: bytes, a: int, b: int) -> list[tuple[bytes, bytes, bytes]]:
-    """(before, seen part, after) of each window of raw[a:b]; the last one ends where it does."""
-    starts = [*range(a, b - SEEN, SEEN // 2), max(a, b - SEEN)]
-    return [(raw[max(0, x - CONTEXT) : x], raw[x : min(b, x + SEEN)], raw[min(b, x + SEEN) : min(b, x + SEEN) + CONTEXT]) for x in starts]
+def starts(a: int, b: int) -> Iterator[int]:
+    """Starts of the windows of a to b; the last one ends where it does."""
+    yield from range(a, b - SEEN, SEEN // 2)
+    yield max(a, b - SEEN)
 
 
-def best(p: np.ndarray, counts: list[int]) -> np.ndarray:
-    """The greatest of each run of counts[i] probabilities."""
-    return np.maximum.reduceat(p, np.cumsum([0, *counts[:-1]])) if counts else p
+def window(raw: bytes, at: int, b: int) -> tuple[bytes, bytes, bytes]:
+    """(before, seen part, after) of the window at that start of a run that ends at b."""
+    end = min(b, at + SEEN)
+    return raw[max(0, at - CONTEXT) : at], raw[at:end], raw[end : end + CONTEXT]
+
+
+def windows(raw: bytes, a: int, b: int) -> list[tuple[bytes, bytes, bytes]]:
+    return [window(raw, x, b) for x in starts(a, b)]
 
 
 @dataclass
@@ -199,6 +211,7 @@ def platt(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 
 
 _ALPHANUMERIC = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)
+_HEXADECIMAL_DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 _BASE64 = np.concatenate([_ALPHANUMERIC, np.frombuffer(b"+/", dtype=np.uint8)])
 
 
@@ -215,19 +228,23 @@ def examples(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list, lis
     draw = lambda chars, k: bytes(rng.choice(chars, k))
     positive, negative, around = [], [], []
     for i in range(n):
-        k = int(rng.integers(20, 49))
-        secret = [draw(_ALPHANUMERIC, k), draw(_BASE64, k) + b"=" * int(rng.integers(0, 3)), b"ghp_" + draw(_ALPHANUMERIC, 36), b"sk_live_" + draw(_ALPHANUMERIC, 24), b"eyJ" + draw(_ALPHANUMERIC, k)][i % 5]
+        k, short = int(rng.integers(20, 49)), int(rng.integers(CANDIDATE_LEAST, 25))
+        secret = [
+            draw(_ALPHANUMERIC, k), draw(_BASE64, k) + b"=" * int(rng.integers(0, 3)), b"ghp_" + draw(_ALPHANUMERIC, 36), b"sk_live_" + draw(_ALPHANUMERIC, 24), b"eyJ" + draw(_ALPHANUMERIC, k),
+            draw(_ALPHANUMERIC, short), draw(_ALPHANUMERIC[26:], short), draw(_ALPHANUMERIC[:52], short), draw(_ALPHANUMERIC, k // 2) + draw(_HEXADECIMAL_DIGITS, 16) + draw(_ALPHANUMERIC, k // 2),
+        ][i % 9]
         plain = [
             b"_".join(word() for _ in range(3)) + b"_%d" % rng.integers(100), b"/".join(word() for _ in range(3)) + b"/%d" % rng.integers(10**6), b"-".join(b"%d" % rng.integers(10, 10**4) for _ in range(5)),
             b"2024-0%d-1%dT%d" % (rng.integers(1, 10), rng.integers(10), rng.integers(10**10)), b"-".join(word() for _ in range(4)) + b"-v%d" % rng.integers(10), word() * 4 + b"%d" % rng.integers(1000), b"-" * int(rng.integers(18, 30)) + b"%d" % rng.integers(10**3),
-        ][i % 7]
+            word() + b"-" + word() + b"-" + word(), b"/" + word() + b"/" + word() + b"/" + word(), word() + b"/" + draw(_HEXADECIMAL_DIGITS, 40)[: int(rng.integers(2, 9))] + b"/" + word(), word() + word().title() + word().title(), b"=" * int(rng.integers(12, 60)), b"_".join(word().upper() for _ in range(3)),
+        ][i % 13]
         before, after = (word() + b" " + word() + [b" ", b": ", b' "', b"="][int(rng.integers(4))])[-CONTEXT:], (b" " + word() + b" " + word())[:CONTEXT]
         # Every third is the end, or a middle part, of a longer run, as a key in a path is. The window that shows most of the secret is a finding, and those that show none of it are none.
         start = b"" if i % 3 else b"/".join([b"", *(word() for _ in range(int(rng.integers(1, 14))))]) + [b"/", b"=", b"-"][int(rng.integers(3))]
         end = b"" if i % 6 else b"/" + b"/".join(word() for _ in range(int(rng.integers(1, 8))))
         raw = before + start + secret + end + after
         a, b = len(before), len(before + start + secret + end)
-        seen = [(max(0, min(x + SEEN, a + len(start + secret)) - max(x, a + len(start))), w) for x, w in zip([*range(a, b - SEEN, SEEN // 2), max(a, b - SEEN)], windows(raw, a, b), strict=True)]
+        seen = [(max(0, min(x + SEEN, a + len(start + secret)) - max(x, a + len(start))), w) for x, w in zip(starts(a, b), windows(raw, a, b), strict=True)]
         positive.append(max(seen, key=lambda w: w[0])[1])
         around += [w for n_seen, w in seen if not n_seen]
         first, *others = windows(before + plain + after, len(before), len(before + plain))
@@ -270,21 +287,35 @@ _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", p
 
 def scan_texts(texts: list[str | None], net: Network | None) -> list[list[dict]]:
     """Spans of each text by start, then kind. Base findings have no probability."""
-    found, asked, seen = [], [], []
+    found, bases, asked, most, owner, seen = [], [], [], [], [], []
+
+    def judge() -> None:
+        for k, p in zip(owner, net.probability(features(seen)).tolist(), strict=True):
+            most[k] = max(most[k], p)
+        owner.clear()
+        seen.clear()
+
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace")
         base = base_spans(raw)
+        bases.append(base)
         found.append((raw, [(a, b, k, None) for a, b, k in base]))
         if net is not None and len(raw) >= CANDIDATE_LEAST:
             for a, b in candidates(raw, base):
-                shown = windows(raw, a, b)
-                asked.append((i, a, b, len(shown)))
-                seen += shown
-    if asked:
-        p = np.concatenate([net.probability(features(seen[k : k + 1024])) for k in range(0, len(seen), 1024)])
-        for (i, a, b, _), most in zip(asked, best(p, [n for *_, n in asked]).tolist(), strict=True):
-            if most >= net.threshold:
-                found[i][1].append((a, b, 3, most))
+                asked.append((i, a, b))
+                most.append(0.0)
+                for x in starts(a, b):
+                    if base and not outside(x, min(b, x + SEEN), base):
+                        continue  # of base findings alone, which tell nothing of the rest
+                    owner.append(len(asked) - 1)
+                    seen.append(window(raw, x, b))
+                    if len(seen) == 1024:
+                        judge()
+    if seen:
+        judge()
+    for (i, a, b), p in zip(asked, most, strict=True):
+        if p >= net.threshold:
+            found[i][1].extend((*part, 3, p) for part in outside(a, b, bases[i]))
     out = []
     for raw, spans in found:
         at, seen, rows = 0, 0, []

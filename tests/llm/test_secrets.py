@@ -96,3 +96,16 @@ def test_a_long_candidate_is_seen_to_its_end(net):
     assert [text[s["start"] : s["end"]] for s in secrets.scan_texts([text], net)[0]] == [text.split()[1]]
     plain = "see /srv/app/releases/current/config/production/letters/harbour/meadow/keys/edition/report-2024 for now"
     assert not secrets.scan_texts([plain], net)[0]
+
+
+def test_every_run_is_a_candidate(net):
+    assert secrets.candidates(b"abcd3fghij7lmnop abCDefGHijKLmnOPqrSTuvWX abcdefghijk", []) == [(0, 16), (17, 41)]
+    key = "Xq7ZtRbK2mWvNc8YpLs4deadbeef01234567QzT9vKxWm3RbYpNc7LsJ"
+    for token in ("kq3x9zt7wv2mbr8p", "xKqZtRwVbMpNgHjYdCfLsWnB", key):
+        text = f"our key is {token} for now"
+        spans = secrets.scan_texts([text], net)[0]
+        assert secrets.cut_out(text, [(s["start"], s["end"]) for s in spans]) == "our key is [SECRET] for now"
+    spans = secrets.scan_texts([key], net)[0]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("model", 0, 19), ("hex", 19, 36), ("model", 36, 56)]
+    assert not secrets.scan_texts(["an ordinary text of considerable internationalization in neighbourhoods ------------------"], net)[0]
+    assert secrets.outside(0, 10, [(0, 2, 0), (1, 3, 1), (5, 6, 2), (9, 12, 0)]) == [(3, 5), (6, 9)]
