@@ -1,13 +1,13 @@
 """A corpus pipeline over `documents`: each stage works on all rows that the one before it kept.
 
 language  texts without any letter are rejected
-near      of each group of near duplicates, the document of the least id stays
+near      of each group of near duplicates, one row stays, of the least id
 benchmark contaminated documents are rejected
 secrets   every span found is replaced by a mark, and n_chars follows
 tokens    the texts' token ids, with digests of them and of the decoded bytes
 
 All stages but the last return the columns of documents. Rows with a null or empty text are rejected by the
-first stage; nulls in other columns pass; repeated rows pass or go together; empty tables give empty results;
+first stage; nulls in other columns pass; of repeated rows one stays; empty tables give empty results;
 extra columns stay through all stages but the last.
 """
 
@@ -30,11 +30,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one row of each class of near duplicates; a document is an id with a text."""
     bounded_batches(spark)
-    found = minhash.classes(docs, "doc_id", "text")
-    gone = found.groupBy("place").agg(F.min("class").alias("class")).where("class <> place").select(F.col("place").alias("_gone"))
-    return docs.join(stored(gone), place("doc_id") == F.col("_gone"), "left_anti")
+    found = stored(minhash.classes(docs, "doc_id", "text"))
+    key = ["_place", "_th"]
+    named = lambda df: df.select(F.col("place").alias("_place"), F.col("th").alias("_th"))
+    first = (F.col("class") == F.col("place")) & (F.col("class_th") == F.col("th"))
+    rows = docs.withColumns({"_place": place("doc_id"), "_th": F.xxhash64("text")})
+    left = rows.join(named(found.where(~first)), key, "left_anti")
+    repeated = named(found.where(first & (F.col("rows") > 1)))
+    once = left.join(repeated, key, "left_anti").unionByName(left.join(repeated, key, "left_semi").dropDuplicates(key))
+    return once.drop(*key)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

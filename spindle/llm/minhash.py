@@ -16,8 +16,9 @@ differs from the leader bound how alike two can be. Pairs that pass both bounds
 link between candidates is lost. Classes are the components of the links.
 
 Words are as everywhere here, A-Z lower-cased. Defined results: a text of one to four words is one shingle; a null
-text or one without words is alone; null ids sort before all ids; documents of one id stand and fall
-together; repeated rows each give a row; extra columns are ignored.
+text or one without words is alone; null ids sort before all ids; a document is an id with a text, so texts of one
+id, or of null ids, are judged each on its own, and one of each class is kept; repeated rows, of one id and text,
+each give a row, all alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,12 +125,12 @@ def differences(a: list[bytes], b: list[bytes], k: int = SHINGLE) -> tuple[np.nd
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(place, a, b, n, bands) of each document with words: a and b are 128 bits of its multiset, n is its size."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.col(text_col).alias("text"))
+    """(place, th, a, b, n, bands) of each document with words: th is of its text, a and b are 128 bits of its multiset, n is its size."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
-            doc, h, count = shingles(as_bytes(batch.column(1)))
+        for batch in small(batches, 2):
+            doc, h, count = shingles(as_bytes(batch.column(2)))
             n = batch.num_rows
             has = np.bincount(doc, minlength=n) > 0
             keys = []
@@ -140,10 +141,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
             found = bands_of(bagminhash(doc, h, count, n, bands * rows), bands, rows).view(np.int64)[has]
             offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(has)), pa.array(keys[0]), pa.array(keys[1]), pa.array(np.bincount(doc, count, minlength=n).astype(np.int64)[has]), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], names=["place", "a", "b", "n", "bands"]
+                [batch.column(0).filter(pa.array(has)), batch.column(1).filter(pa.array(has)), pa.array(keys[0]), pa.array(keys[1]), pa.array(np.bincount(doc, count, minlength=n).astype(np.int64)[has]), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], names=["place", "th", "a", "b", "n", "bands"]
             )
 
-    return texts.mapInArrow(run, "place long, a long, b long, n long, bands array<long>")
+    return texts.mapInArrow(run, "place long, th long, a long, b long, n long, bands array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,17 +179,21 @@ def may_link(similarity: float, some: tuple[int, ...] = ()):
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(place, copy_of, class) of each place of a document with words: the least place with an equal multiset, and with a linked one."""
+    """(place, th, copy_of, class, class_th, rows) of each document with words: the least place with an equal multiset, the least document of its class, and its rows."""
     sketch = stored(sketches(docs, id_col, text_col, bands, rows))
-    first = sketch.groupBy("a", "b").agg(F.min("place").alias("copy_of"))
-    member = stored(sketch.select("place", "a", "b").join(first, ["a", "b"]).select("place", "copy_of").distinct())
-    heads = sketch.join(first, ["a", "b"]).where("place = copy_of").dropDuplicates(["place"]).select("place", F.col("n").alias("size"), F.posexplode("bands").alias("nth", "key"))
-    heads = stored(heads)
+    # Multisets get numbers, which hold from when they are written; from here to the classes, they are the places.
+    first = sketch.groupBy("a", "b").agg(F.min(F.struct("place", "th")).alias("head"))
+    first = stored(first.withColumn("node", F.monotonically_increasing_id()))
+    every = sketch.join(first, ["a", "b"])
+    member = stored(every.groupBy("place", "th").agg(F.min(F.struct("node", "head")).alias("of"), F.count("*").alias("rows")))
+    one = every.where((F.col("place") == F.col("head.place")) & (F.col("th") == F.col("head.th"))).dropDuplicates(["node"])
+    one = stored(one.select("node", "place", "th", "n", "bands"))
+    heads = one.select(F.col("node").alias("place"), F.col("n").alias("size"), F.posexplode("bands").alias("nth", "key"))
     shared = heads.groupBy("key").agg(F.min("place").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = stored(heads.join(shared.select("key", "leader"), "key"))
-    wanted = buckets.select("place").distinct()
-    texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.col(text_col).alias("text")).join(wanted, "place", "left_semi")
-    texts = stored(texts)
+    wanted = buckets.select(F.col("place").alias("node")).distinct().join(one.select("node", "place", "th"), "node")
+    texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(wanted, ["place", "th"])
+    texts = stored(texts.dropDuplicates(["place", "th"]).select(F.col("node").alias("place"), "text"))
 
     pairs = buckets.where("place > leader").select(F.col("leader").alias("a"), F.col("place").alias("b")).distinct()
     done = compared(pairs, texts)
@@ -204,7 +209,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     width = 1 - similarity + 1e-9
     slot = F.floor(F.col("s") / width)
     open_ = scored.join(scored.where("apart").select("key").distinct(), "key", "left_semi")
-    open_ = stored(open_.join(sketch.select("place", "bands").dropDuplicates(["place"]), "place"))
+    open_ = stored(open_.join(one.select(F.col("node").alias("place"), "bands"), "place"))
     short = {"place": "", "c": "c", "s": "s", "size": "n", "d": "d", "bands": "b", "apart": "x"}
     named = lambda df, side: df.select("key", "nth", "slot", *(F.col(c).alias(side + n) for c, n in short.items()))
     x = named(open_.where("apart").withColumn("slot", slot), "p")
@@ -217,19 +222,22 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     more = compared(cross.join(done, ["a", "b"], "left_anti"), texts)
     if not more.where(F.col("s") >= similarity).isEmpty():
         label = linked(done.unionAll(more))
-    group = member.join(label.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
-    return group.select("place", "copy_of", F.coalesce("component", "copy_of").alias("class"))
+    grouped = label.join(one.select("node", "place", "th"), "node")
+    least = grouped.groupBy("component").agg(F.min(F.struct("place", "th")).alias("least"))
+    of_node = grouped.select("node", "component").join(least, "component").select("node", "least")
+    group = member.select("place", "th", "of.*", "rows").join(of_node, "node", "left").withColumn("least", F.coalesce("least", "head"))
+    return group.select("place", "th", F.col("head.place").alias("copy_of"), F.col("least.place").alias("class"), F.col("least.th").alias("class_th"), "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(id_col, copy_of, class_id, kept) of each row: kept is true of one document in each class."""
+    """(id_col, copy_of, class_id, kept) of each row: kept is true of one document, an id with a text, in each class."""
     found = classes(docs, id_col, text_col, similarity)
-    found = stored(found.groupBy("place").agg(F.min("copy_of").alias("copy_of"), F.min("class").alias("class")))
-    rows = docs.select(F.col(id_col), place(id_col).alias("place"))
-    joined = rows.join(found, "place", "left")
+    found = stored(found)
+    rows = docs.select(F.col(id_col), place(id_col).alias("place"), F.xxhash64(text_col).alias("th"))
+    joined = rows.join(found, ["place", "th"], "left")
     own = F.col(id_col).cast("long")
     least = lambda c: F.when(F.col(c).isNull() | (F.col(c) == F.col("place")), own).otherwise(F.col(c))
-    return joined.select(id_col, least("copy_of").alias("copy_of"), least("class").alias("class_id"), (F.col("class").isNull() | (F.col("class") == F.col("place"))).alias("kept"))
+    return joined.select(id_col, least("copy_of").alias("copy_of"), least("class").alias("class_id"), (F.col("class").isNull() | ((F.col("class") == F.col("place")) & (F.col("class_th") == F.col("th")))).alias("kept"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spindle.llm import minhash
 from spindle.llm.common import components
@@ -83,3 +84,22 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(100, 201), 100), 2: 2, 3: 2, 9: 2}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Each text of an id, and of the null ids, is judged on its own, and one row of a class stays in the pipeline."""
+    import corpus_pipeline
+
+    text = lambda k, edit="": " ".join(f"w{k}_{i}" for i in range(80)) + edit
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (None, text(2) + " z"), (4, text(1)), (5, text(3) + " y"), (6, text(4)), (6, text(5)), (7, text(4) + " x"), (8, text(5)), (9, text(6)), (9, text(2)), (10, text(7)), (10, text(7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda t: t.split("_")[0]
+    done = minhash.classes(df, "doc_id", "text").join(df.select(F.xxhash64("text").alias("th"), "text").distinct(), "th").collect()
+    groups = {}
+    for r in done:
+        groups.setdefault((r["class"], r["class_th"]), set()).add(key(r["text"]))
+    assert len(groups) == 7 and all(len(g) == 1 for g in groups.values())
+    got = minhash.near_duplicates(df, "doc_id", "text").collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 8  # the repeated row is kept with its like
+    stay = [(r["doc_id"], key(r["text"])) for r in corpus_pipeline.near(spark, df, "").collect()]
+    assert sorted(stay, key=str) == sorted([(None, "w1"), (None, "w2"), (None, "w3"), (6, "w4"), (6, "w5"), (9, "w6"), (10, "w7")], key=str)
