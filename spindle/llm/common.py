@@ -7,8 +7,9 @@ import contextlib
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,27 +53,79 @@ def scratch(spark: SparkSession) -> str:
             _LOCAL["dir"] = tempfile.mkdtemp(prefix="spindle-")
             atexit.register(shutil.rmtree, _LOCAL["dir"], True)
         base = "file://" + _LOCAL["dir"]
-    path = f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
-    if path.startswith(("file:", "/")):  # what is elsewhere is the cluster's to clear
-        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
-    return path
+    return f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
+
+
+#: Tables that were written and not discarded yet: path, and the JVM's view of the file system that it is on.
+_WRITTEN: dict[str, tuple] = {}
+_LOCK = threading.Lock()
+#: Sessions that are writing just now: how many tables, and the setting that they had before.
+_WRITING: dict[int, list] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """Lets shuffle files go as soon as a write ends; the session's own setting is back when its last write has ended."""
+    with _LOCK:
+        held = _WRITING.setdefault(id(spark), [0, spark.conf.get(_CLEAN, "false")])
+        held[0] += 1
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_CLEAN, held[1])
+                del _WRITING[id(spark)]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation.
 
     Its shuffle files go as soon as it is written, so a chain of stored steps needs the disk of its
-    largest step and not of their sum.
+    largest step and not of their sum. The table itself goes when it is discarded, or when Python ends.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
+    _WRITTEN[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._spindle_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables, on whatever file system: nothing will read them any more. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_spindle_path", None)
+        if path in _WRITTEN:
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    jvm, conf = _WRITTEN.pop(path)
+    with contextlib.suppress(Exception):  # what cannot be deleted now only costs space
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
+        _delete(path)
+
+
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column's; Spark's names have no case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def spread(df: DataFrame, *columns) -> DataFrame:
@@ -219,7 +272,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        links = stored(small_)
+        before, links = links, stored(small_)
+        discard(before)
         mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == last:
             break
