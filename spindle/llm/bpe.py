@@ -3,7 +3,8 @@
 Method: overlapping chunk encoding. Long texts are cut into chunks that overlap; every chunk is
 pre-tokenised on its own, in parallel; neighbours are stitched at the first pre-token boundary that both
 see in their overlap (from a common boundary on, the pattern sees the same characters, so both go on
-alike); then the stretches between stitches are encoded in parallel. Decoding joins raw token bytes.
+alike); then the stretches between stitches are encoded in parallel. Neighbours without a common boundary, as within
+one endless word, are encoded as one stretch. Decoding joins raw token bytes.
 
 Defined results: a null text is read as the empty text, which has no tokens; bytes that are not UTF-8 read
 as U+FFFD; repeated rows each give a row; equal long texts are encoded once; extra columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import as_text, give_back, spread, table
+from .common import as_text, give_back, spread, stored, table
 
 #: Characters of a chunk before the overlap, and of the overlap.
 CHUNK, OVERLAP = 32_768, 512
@@ -59,8 +60,9 @@ class Codec(dict):
         if self.of_piece is None:  # a worker that only decodes never needs it
             import tiktoken
 
-            self.of_piece = tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-        ids = array("i", self.of_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+            # To this pattern a pre-token is one match, whatever is in it.
+            self.of_piece = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        ids = array("i", self.of_piece(piece)).tobytes()
         self[piece] = ids
         return ids
 
@@ -144,18 +146,22 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: s
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(head), lists(tail)], schema=pa.schema([*batch.schema, ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))]))
 
     edges = T.ArrayType(T.IntegerType(), False)
-    tried = cut.mapInArrow(pretokenise, T.StructType([*cut.schema.fields, T.StructField("head", edges), T.StructField("tail", edges)]))
+    tried = stored(cut.mapInArrow(pretokenise, T.StructType([*cut.schema.fields, T.StructField("head", edges), T.StructField("tail", edges)])))
+    # Where each chunk's own stretch begins and ends: numbers alone, so no task holds a text.
     order = Window.partitionBy("sha").orderBy("start")
-    tried = tried.withColumn("stop", F.when(~F.col("final"), F.array_min(F.array_intersect("tail", F.lead("head").over(order)))))
-    tried = tried.withColumn("begin", F.lag("stop").over(order))
-    tried = tried.withColumn("whole", F.bool_and(F.col("final") | F.col("stop").isNotNull()).over(Window.partitionBy("sha")))
-    stitched = tried.where("whole").select(
-        "sha", F.coalesce("begin", F.lit(0)).alias("at"),
-        F.col("part").substr(F.coalesce(F.col("begin") - F.col("start"), F.lit(0)) + 1, F.coalesce("stop", F.col("start") + F.char_length("part")) - F.coalesce("begin", F.lit(0))).alias("part"),
+    stops = tried.select("sha", "start", "final", "tail", F.lead("head").over(order).alias("next"))
+    stops = stops.select("sha", "start", "final", F.when(~F.col("final"), F.array_min(F.array_intersect("tail", "next"))).alias("stop"))
+    # Chunks without a common boundary in their overlap, as in one endless word, go into one piece with the next.
+    joins = stops.select(
+        "sha", "start", F.lag("stop").over(order).alias("begin"), "stop",
+        F.coalesce(F.sum(F.col("stop").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("piece"),
     )
-    # Without a common boundary in some overlap, such as in one endless word, the text is encoded in one piece.
-    stubborn = tried.where(~F.col("whole")).select("sha").distinct().join(texts, "sha").select("sha", F.lit(0).alias("at"), F.col("text").alias("part"))
-    pieces = spread(stitched.unionAll(stubborn), "sha", "at")
+    cuts = tried.select("sha", "start", "part", "final").join(joins, ["sha", "start"])
+    since = F.coalesce("begin", "start")
+    upto = F.coalesce("stop", F.when(F.col("final"), F.col("start") + F.char_length("part")).otherwise(F.col("start") + chunk))
+    cuts = cuts.select("sha", "piece", F.struct(since.alias("at"), F.col("part").substr(since - F.col("start") + 1, upto - since).alias("part")).alias("cut"))
+    pieces = cuts.groupBy("sha", "piece").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    pieces = pieces.select("sha", F.col("cuts")[0]["at"].alias("at"), F.array_join(F.transform("cuts", lambda x: x["part"]), "").alias("part"))
 
     def run_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
