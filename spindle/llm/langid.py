@@ -10,18 +10,18 @@ n-grams are of bytes, after A-Z are lower-cased, digits and ASCII punctuation re
 is known by a slot of a table, as sets need not tell all n-grams apart. Whole texts are read.
 
 Defined results: `und` with score 0 for a null text and for one without any letter; ties go to the
-language that sorts first; if no labelled text can be learned from, all is `und`. Neither language,
+language that sorts first; if no labelled text can be learned from, all is `und`; equal texts are learned from once. Neither language,
 source nor id is an input of a prediction. Repeated rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +39,11 @@ RIDGE = 1e-2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def presence(texts: list[bytes]) -> np.ndarray:
-    """float32 rows that hold, for each slot, weight / sqrt(size of the set), so that row products are kernels."""
+def grams(texts: list[bytes]) -> np.ndarray:
+    """float32 rows of 1 for each slot that a text's n-grams fall into, else 0."""
     out = np.zeros((len(texts), sum(SLOTS)), dtype=np.float32)
     if not texts:
         return out
@@ -55,12 +55,16 @@ def presence(texts: list[bytes]) -> np.ndarray:
     ends = np.repeat(ends, np.diff(ends, prepend=0))
     flat, at = out.reshape(-1), row * sum(SLOTS)
     left = ends - np.arange(n)
-    grams = (a, (a * 977 + b * 131) % SLOTS[1], (a * 40_503 + b * 2_654 + c * 31) % SLOTS[2])
     offset = 0
-    for k, (gram, slots) in enumerate(zip(grams, SLOTS, strict=True)):
+    for k, (gram, slots) in enumerate(zip((a, (a * 977 + b * 131) % SLOTS[1], (a * 40_503 + b * 2_654 + c * 31) % SLOTS[2]), SLOTS, strict=True)):
         where = at + gram + offset
         flat[where if not k else where[left > k]] = 1
         offset += slots
+    return out
+
+
+def blended(out: np.ndarray) -> np.ndarray:
+    """The rows of grams(), in place, with each 1 as weight / sqrt(size of the set), so that row products are kernels."""
     offset = 0
     for slots, weight in zip(SLOTS, BLEND, strict=True):
         part = out[:, offset : offset + slots]
@@ -69,6 +73,20 @@ def presence(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def presence(texts: list[bytes]) -> np.ndarray:
+    return blended(grams(texts))
+
+
+def packed(texts: list[bytes]) -> list[bytes]:
+    """The rows of grams() as bits: what a text weighs in a sample, however long it is."""
+    return [row.tobytes() for row in np.packbits(grams(texts).astype(bool), axis=1)]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    bits = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    return blended(np.unpackbits(bits, axis=1, count=sum(SLOTS)).astype(np.float32))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -81,16 +99,17 @@ class Model:
         return np.concatenate([k, np.ones((len(k), 1), dtype=np.float32)], axis=1) @ self.weights
 
 
-def fit(texts: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def fit(rows: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """From packed rows and their languages."""
     names = sorted(set(languages))
     if not names:
         return None
     which = np.array([names.index(x) for x in languages])
     chosen = np.concatenate([np.flatnonzero(which == k)[:landmarks] for k in range(len(names))])
-    z = presence([texts[i] for i in chosen])
+    z = unpacked([rows[i] for i in chosen])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    phi = np.concatenate([presence(texts[i : i + 256]) @ z.T for i in range(0, len(texts), 256)]).astype(np.float64) @ root
+    phi = np.concatenate([unpacked(rows[i : i + 256]) @ z.T for i in range(0, len(rows), 256)]).astype(np.float64) @ root
     phi = np.concatenate([phi, np.ones((len(phi), 1))], axis=1)
     y = np.where(which[:, None] == np.arange(len(names)), 1.0, -1.0)
     share = np.bincount(which, minlength=len(names))
@@ -99,25 +118,35 @@ def fit(texts: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ri
     return Model(names, z, np.concatenate([root @ solved[:-1], solved[-1:]]).astype(np.float32))
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, sample: int = SAMPLE) -> Model | None:
-    """Fitted on up to `sample` labelled texts of each language, chosen by a hash of the id."""
-    rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("h"), F.col(id_col).alias("id"))
-    # The smallest hashes of each language: a partial aggregate keeps a bounded number of them in each task.
-    picked = rows.groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min(F.struct("h", "id")).alias("m")).select("m.id").distinct()
-    found = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).join(F.broadcast(picked), docs[id_col] == picked["id"], "left_semi")
-    got = sorted({(r[0], r[1]) for r in found.select(F.col(lang_col), F.col(text_col).cast("binary")).toLocalIterator()}, key=lambda x: (x[0], hash_of(x[1])))
-    return fit([bytes(t) for _, t in got], [lang for lang, _ in got])
+def readable(text: Column) -> Column:
+    """Whether there is a letter."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def hash_of(text: bytes) -> int:
-    import zlib
+def learn(docs: DataFrame, text_col: str, lang_col: str, train: Column, sample: int = SAMPLE) -> Model | None:
+    """Fitted on up to `sample` different labelled texts of each language, chosen by their hashes.
+
+    Both passes are jobs over all tasks at once; executors turn the texts into bits, so the driver gets as many bytes
+    of a long text as of a short one. What is broadcast and gathered grows with the number of languages alone.
+    """
+    rows = docs.where(train & F.col(lang_col).isNotNull() & readable(F.col(text_col)))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.lit("langid")).alias("h"), F.col(text_col).alias("text"))
+    # The smallest hash in each slot: a partial aggregate keeps a bounded number of them in each task.
+    picked = rows.groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2, 1 << 18):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed(as_bytes(batch.column(2))), pa.binary())], names=["lang", "h", "bits"])
 
-    return zlib.crc32(bytes(text))
+    found = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").mapInArrow(run, "lang string, h long, bits binary")
+    got = found.groupBy("lang", "h").agg(F.min("bits").alias("bits")).toArrow().to_pylist()  # repeated texts once
+    got.sort(key=lambda r: (r["lang"], r["h"]))
+    return fit([r["bits"] for r in got], [r["lang"] for r in got])
 
 
 def predict(docs: DataFrame, text_col: str, model: Model | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the columns pred and score."""
+    """docs with the columns pred and score, which take the place of columns that have these names."""
+    docs = docs.drop(pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
@@ -147,7 +176,7 @@ def held_out(id_col: str, parts: int) -> Column:
 
 
 def documents_languages(docs: DataFrame) -> DataFrame:
-    model = learn(docs, "doc_id", "text", "lang", ~held_out("doc_id", 4))
+    model = learn(docs, "text", "lang", ~held_out("doc_id", 4))
     rows = docs.select("doc_id", held_out("doc_id", 4).alias("held_out"), "text")
     return predict(rows, "text", model).drop("text")
 

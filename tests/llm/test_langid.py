@@ -44,3 +44,44 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in langid.documents_languages(df).collect()] == [(1, False, "und", 0.0)]
     assert langid.documents_languages(df.limit(0)).count() == 0
+
+
+def test_against_a_plain_version(docs, spark):
+    """Kernels of sets, the landmarks' inverse root and ridge regression, written out one by one."""
+    rows = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "lang").collect() if r["text"] and r["lang"]][:120]
+    texts, langs = [r["text"].encode() for r in rows], [r["lang"] for r in rows]
+    names = sorted(set(langs))
+
+    def sets(t):
+        t = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in t]
+        return [set(t), {(a * 977 + b * 131) % 2**32 % 2048 for a, b in zip(t, t[1:])}, {(a * 40_503 + b * 2_654 + c * 31) % 2**32 % 4096 for a, b, c in zip(t, t[1:], t[2:])}]
+
+    def kernel(a, b):
+        return sum(w * len(x & y) / max(len(x) * len(y), 1) ** 0.5 for w, x, y in zip(langid.BLEND, a, b, strict=True))
+
+    chosen = [i for name in names for i in [k for k, x in enumerate(langs) if x == name][:6]]
+    each = [sets(t) for t in texts]
+    k = np.array([[kernel(each[i], each[j]) for j in chosen] for i in range(len(texts))])
+    values, vectors = np.linalg.eigh(k[chosen])
+    phi = np.concatenate([k @ vectors / np.sqrt(np.maximum(values, 1e-6)), np.ones((len(k), 1))], axis=1)
+    y = np.array([[1.0 if x == name else -1.0 for name in names] for x in langs])
+    w = np.array([len(langs) / len(names) / langs.count(x) for x in langs])[:, None]
+    plain = phi @ np.linalg.solve(phi.T @ (w * phi) + langid.RIDGE * np.eye(phi.shape[1]), phi.T @ (w * y))
+
+    model = langid.fit(langid.packed(texts), langs, landmarks=6)
+    assert model.languages == names and np.allclose(model.scores(texts), plain, atol=0.02)
+    got = langid.predict(spark.createDataFrame([(i, t.decode(), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string"), "text", model).collect()
+    e = np.exp(4 * (plain - plain.max(1, keepdims=True)))
+    sure = np.sort(plain, axis=1)[:, -1] - np.sort(plain, axis=1)[:, -2] > 0.05
+    assert sure.mean() > 0.9
+    for r in got:
+        if sure[r["doc_id"]]:
+            assert r["lang_pred"] == names[plain[r["doc_id"]].argmax()]
+        assert abs(r["score"] - e[r["doc_id"]].max() / e[r["doc_id"]].sum()) < 0.03
+
+
+def test_what_is_gathered_of_a_text_does_not_grow_with_it(spark):
+    assert {len(x) for x in langid.packed([b"", b"a", b"long " * 100_000])} == {sum(langid.SLOTS) // 8}
+    rows = [(i % 3, "the same text of a third of all rows", "en") for i in range(300)] + [(i, f"texte numéro {i} de la maison", "fr") for i in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", F.lit(True), sample=50)
+    assert model.languages == ["en", "fr"] and len(model.landmarks) == 1 + langid.LANDMARKS
