@@ -1,16 +1,18 @@
 """Secret scans.
 
 Method: a character convolutional network in numpy scores every candidate with its surrounding context.
-Candidates are the findings of the base rules and every run of 12 token characters or more. The network is trained on labelled findings: base findings and generated secrets of usual
-shapes against ordinary runs of the corpus and generated look-alikes (numbers, dates, paths, versions,
-identifiers). Its logits are calibrated by Platt scaling on findings held out of the training, and the
-threshold is the highest one that keeps the wanted recall of those held out that only the network can find: the
-base rules' own findings need none. The precision that results on what was held out is told with the network.
-
-Base findings always stay; the network adds spans of kind `model`, which never overlap a base span: of a run that
-base spans cover in part, it judges the whole, and adds the parts outside them.
+Candidates are the findings of the base rules and every run of 12 token characters or more. The network is trained on
+labelled findings: base findings and generated secrets of usual shapes against ordinary runs of the corpus and
+generated look-alikes (numbers, dates, paths, versions, identifiers). Its logits are calibrated by Platt scaling on
+findings held out of the training, among them secrets of shapes of which it has seen none. The threshold is the highest
+one that keeps the wanted recall of each shape, of those that it has seen and of the others. Recall by shape, and the precision on what was held out, are
+told with the network.
+
+Base findings always stay, whatever their probability; the network adds spans of kind `model`, which never overlap a
+base span: of a run that base spans cover in part, it judges the whole, and adds the parts outside them.
 Spans are in code points, end exclusive. Defined results: a null or empty text has no spans; bytes that are
-not UTF-8 count as U+FFFD; repeated rows each give a row; extra columns are ignored.
+not UTF-8 count as U+FFFD; repeated rows each give a row, and are learned from once; extra columns are ignored, but for
+one of the name of the result, whose place that takes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, give_back, table
+from .common import as_bytes, as_text, give_back, small, table
 
 #: Kinds of base findings in the order of the digest, then the network's.
 KINDS = ("assign", "access", "hex", "model")
@@ -41,8 +43,8 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LEAST)
 #: Bytes of a candidate and of its context on either side that the network sees at once. A longer candidate is seen in
 #: windows that overlap by half, and its most probable window counts.
 SEEN, CONTEXT = 48, 16
-#: Findings learned from, of the corpus and generated, at most: a bound on the sample the classifier is fitted on.
-SAMPLE = 2000
+#: Texts learned from, and findings of each kind and words of each of them, at most: bounds on the sample the classifier is fitted on.
+SAMPLE, EACH = 2000, 8
 RECALL = 0.98
 #: Half of the sample is texts that hold one of these, so that it has findings. What is found does not depend on them.
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "PASSWORD", "SECRET", "TOKEN", "API_KEY", "Password", "Token", "AKIA")
@@ -85,7 +87,11 @@ DEPTH = 18
 WIDTH = SEEN + 2 * CONTEXT
 
 
-def features(windows: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
+#: What stands before a window of a candidate, the window, and what stands after it.
+Window = tuple[bytes, bytes, bytes]
+
+
+def features(windows: list[Window]) -> np.ndarray:
     """(before, candidate, after) as one-hot classes of characters, with channels for hexadecimal, candidate and padding."""
     out = np.zeros((len(windows), WIDTH, DEPTH), dtype=np.float32)
     for i, (before, inside, after) in enumerate(windows):
@@ -105,13 +111,13 @@ def starts(a: int, b: int) -> Iterator[int]:
     yield max(a, b - SEEN)
 
 
-def window(raw: bytes, at: int, b: int) -> tuple[bytes, bytes, bytes]:
+def window(raw: bytes, at: int, b: int) -> Window:
     """(before, seen part, after) of the window at that start of a run that ends at b."""
     end = min(b, at + SEEN)
     return raw[max(0, at - CONTEXT) : at], raw[at:end], raw[end : end + CONTEXT]
 
 
-def windows(raw: bytes, a: int, b: int) -> list[tuple[bytes, bytes, bytes]]:
+def windows(raw: bytes, a: int, b: int) -> list[Window]:
     return [window(raw, x, b) for x in starts(a, b)]
 
 
@@ -129,6 +135,8 @@ class Network:
     threshold: float = 1.1
     #: Of what was held out and reaches the threshold, the share that is secret and that only the network finds.
     precision: float | None = None
+    #: Of each shape held out, the share that reaches the threshold.
+    recalls: dict[str, float] | None = None
 
     @classmethod
     def new(cls, filters: int = 32, hidden: int = 24, span: int = 5, seed: int = 7) -> Network:
@@ -147,8 +155,11 @@ class Network:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.float32), *(self.forward(x[i : i + 256])[-1] for i in range(0, len(x), 256))])
 
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -40, 40)))
+        return self.calibrated(self.logits(x))
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float, state: dict) -> None:
         cols, a, top, pooled, h, z = self.forward(x)
@@ -172,13 +183,12 @@ class Network:
             getattr(self, name)[...] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def train(positive: list[tuple[bytes, bytes, bytes]], negative: list[tuple[bytes, bytes, bytes]], added: list[tuple[bytes, bytes, bytes]], recall: float = RECALL, epochs: int = 6) -> Network:
-    """Every fifth window is held out for calibration, and of added ones, which only the network can find, for the threshold."""
-    x = features(positive + negative + added)
-    kind = np.repeat([1, 0, 2], [len(positive), len(negative), len(added)])
-    order = np.random.default_rng(11).permutation(len(kind))
-    x, kind = x[order], kind[order]
-    y = (kind > 0).astype(np.float32)
+def train(positive: list[Window], negative: list[Window], shapes: dict[str, list[Window]], recall: float = RECALL, epochs: int = 10) -> Network:
+    """Every fifth window is held out for calibration, and so are all of the shapes, which also give the threshold."""
+    x = features(positive + negative)
+    y = np.repeat(np.array([1, 0], dtype=np.float32), [len(positive), len(negative)])
+    order = np.random.default_rng(11).permutation(len(y))
+    x, y = x[order], y[order]
     held = np.arange(len(y)) % 5 == 0
     net, state = Network.new(), {}
     xt, yt = x[~held], y[~held]
@@ -186,14 +196,17 @@ def train(positive: list[tuple[bytes, bytes, bytes]], negative: list[tuple[bytes
         shuffled = np.random.default_rng(epoch).permutation(len(yt))
         for k in range(0, len(shuffled), 64):
             at = shuffled[k : k + 64]
-            net.step(xt[at], yt[at], 3e-3, state)
+            net.step(xt[at], yt[at], 3e-3 * 0.8**epoch, state)
     z, t = net.logits(x[held]), y[held]
+    of_shape = {name: net.logits(features(seen)) for name, seen in shapes.items() if seen}
+    z, t = np.concatenate([z, *of_shape.values()]), np.concatenate([t, *(np.ones(len(v), np.float32) for v in of_shape.values())])
     if 0 < t.sum() < len(t):
         net.scale, net.shift = platt(z, t)
-        p, k = net.probability(x[held]), kind[held]
-        if (k == 2).any():
-            net.threshold = float(np.quantile(p[k == 2], 1 - recall, method="lower"))
-            right, wrong = (p[k == 2] >= net.threshold).sum(), (p[k == 0] >= net.threshold).sum()
+        if of_shape:
+            p = {name: net.calibrated(v) for name, v in of_shape.items()}
+            net.threshold = float(min(np.quantile(v, 1 - recall, method="lower") for v in p.values()))
+            net.recalls = {name: float((v >= net.threshold).mean()) for name, v in p.items()}
+            right, wrong = sum((v >= net.threshold).sum() for v in p.values()), (net.calibrated(z[t == 0]) >= net.threshold).sum()
             net.precision = float(right / (right + wrong))
     return net
 
@@ -212,40 +225,73 @@ def platt(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 
 _ALPHANUMERIC = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)
 _HEXADECIMAL_DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
+_DIGITS = _ALPHANUMERIC[52:]
 _BASE64 = np.concatenate([_ALPHANUMERIC, np.frombuffer(b"+/", dtype=np.uint8)])
-
-
-def generated(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list]:
-    """n secrets of usual shapes and n look-alikes in contexts of corpus words."""
-    return examples(n, words, seed)[:2]
-
-
-def examples(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list, list]:
-    """(secrets, look-alikes, harmless windows of the runs they are in)."""
+_URL_SAFE = np.concatenate([_ALPHANUMERIC, np.frombuffer(b"-_", dtype=np.uint8)])
+_BASE32 = np.concatenate([_ALPHANUMERIC[:26], np.frombuffer(b"234567", dtype=np.uint8)])
+
+#: Generators of secrets, from a function that draws characters, a length and a shorter one. The network is trained on these.
+SHAPES = {
+    "alphanumeric": lambda draw, k, short: draw(_ALPHANUMERIC, k),
+    "base64": lambda draw, k, short: draw(_BASE64, k) + b"=" * (k % 3),
+    "prefix ghp_": lambda draw, k, short: b"ghp_" + draw(_ALPHANUMERIC, 36),
+    "prefix sk_live_": lambda draw, k, short: b"sk_live_" + draw(_ALPHANUMERIC, 24),
+    "prefix eyJ": lambda draw, k, short: b"eyJ" + draw(_ALPHANUMERIC, k),
+    "short alphanumeric": lambda draw, k, short: draw(_ALPHANUMERIC, short),
+    "short lower case and digits": lambda draw, k, short: draw(_ALPHANUMERIC[26:], short),
+    "short letters": lambda draw, k, short: draw(_ALPHANUMERIC[:52], short),
+    "around hexadecimal": lambda draw, k, short: draw(_ALPHANUMERIC, k // 2) + draw(_HEXADECIMAL_DIGITS, 16) + draw(_ALPHANUMERIC, k // 2),
+    "grouped upper case": lambda draw, k, short: b"-".join(draw(_BASE32, 4) for _ in range(4)),
+}
+#: And these are held out of the training as a whole.
+UNSEEN = {
+    "prefix glpat-": lambda draw, k, short: b"glpat-" + draw(_URL_SAFE, 20),
+    "prefix xoxb-": lambda draw, k, short: b"xoxb-" + draw(_DIGITS, 11) + b"-" + draw(_DIGITS, 12) + b"-" + draw(_ALPHANUMERIC, 24),
+    "prefix AIza": lambda draw, k, short: b"AIza" + draw(_URL_SAFE, 35),
+    "prefix npm_": lambda draw, k, short: b"npm_" + draw(_ALPHANUMERIC, 36),
+    "base32": lambda draw, k, short: draw(_BASE32, k),
+    "grouped in fives": lambda draw, k, short: b"-".join(draw(_ALPHANUMERIC, 5) for _ in range(5)),
+}
+_LOOK_ALIKES = (
+    lambda word, draw, rng: b"_".join(word() for _ in range(3)) + b"_%d" % rng.integers(100),
+    lambda word, draw, rng: b"/".join(word() for _ in range(3)) + b"/%d" % rng.integers(10**6),
+    lambda word, draw, rng: b"-".join(b"%d" % rng.integers(10, 10**4) for _ in range(5)),
+    lambda word, draw, rng: b"2024-0%d-1%dT%d" % (rng.integers(1, 10), rng.integers(10), rng.integers(10**10)),
+    lambda word, draw, rng: b"-".join(word() for _ in range(4)) + b"-v%d" % rng.integers(10),
+    lambda word, draw, rng: word() * 4 + b"%d" % rng.integers(1000),
+    lambda word, draw, rng: b"-" * int(rng.integers(18, 30)) + b"%d" % rng.integers(10**3),
+    lambda word, draw, rng: word() + b"-" + word() + b"-" + word(),
+    lambda word, draw, rng: b"/" + word() + b"/" + word() + b"/" + word(),
+    lambda word, draw, rng: word() + b"/" + draw(_HEXADECIMAL_DIGITS, int(rng.integers(2, 9))) + b"/" + word(),
+    lambda word, draw, rng: word() + word().title() + word().title(),
+    lambda word, draw, rng: b"=" * int(rng.integers(12, 60)),
+    lambda word, draw, rng: b"_".join(word().upper() for _ in range(3)),
+    lambda word, draw, rng: b"%d" % rng.integers(10**12, 10**15),
+    lambda word, draw, rng: (word() + word() + word()).upper(),
+)
+
+
+def examples(n: int, words: list[bytes], seed: int = 5, shapes: dict = SHAPES) -> tuple[dict[str, list[Window]], list[Window], list[Window]]:
+    """(n secrets by shape, as many look-alikes, harmless windows of the runs they are in), in contexts of the words."""
     rng = np.random.default_rng(seed)
     words = words or [b"the", b"value", b"of"]
     word = lambda: words[rng.integers(len(words))]
     draw = lambda chars, k: bytes(rng.choice(chars, k))
-    positive, negative, around = [], [], []
+    positive: dict[str, list[Window]] = {name: [] for name in shapes}
+    negative, around = [], []
     for i in range(n):
-        k, short = int(rng.integers(20, 49)), int(rng.integers(CANDIDATE_LEAST, 25))
-        secret = [
-            draw(_ALPHANUMERIC, k), draw(_BASE64, k) + b"=" * int(rng.integers(0, 3)), b"ghp_" + draw(_ALPHANUMERIC, 36), b"sk_live_" + draw(_ALPHANUMERIC, 24), b"eyJ" + draw(_ALPHANUMERIC, k),
-            draw(_ALPHANUMERIC, short), draw(_ALPHANUMERIC[26:], short), draw(_ALPHANUMERIC[:52], short), draw(_ALPHANUMERIC, k // 2) + draw(_HEXADECIMAL_DIGITS, 16) + draw(_ALPHANUMERIC, k // 2),
-        ][i % 9]
-        plain = [
-            b"_".join(word() for _ in range(3)) + b"_%d" % rng.integers(100), b"/".join(word() for _ in range(3)) + b"/%d" % rng.integers(10**6), b"-".join(b"%d" % rng.integers(10, 10**4) for _ in range(5)),
-            b"2024-0%d-1%dT%d" % (rng.integers(1, 10), rng.integers(10), rng.integers(10**10)), b"-".join(word() for _ in range(4)) + b"-v%d" % rng.integers(10), word() * 4 + b"%d" % rng.integers(1000), b"-" * int(rng.integers(18, 30)) + b"%d" % rng.integers(10**3),
-            word() + b"-" + word() + b"-" + word(), b"/" + word() + b"/" + word() + b"/" + word(), word() + b"/" + draw(_HEXADECIMAL_DIGITS, 40)[: int(rng.integers(2, 9))] + b"/" + word(), word() + word().title() + word().title(), b"=" * int(rng.integers(12, 60)), b"_".join(word().upper() for _ in range(3)),
-        ][i % 13]
+        name = list(shapes)[i % len(shapes)]
+        secret = shapes[name](draw, int(rng.integers(20, 49)), int(rng.integers(CANDIDATE_LEAST, 25)))
+        plain = _LOOK_ALIKES[i % len(_LOOK_ALIKES)](word, draw, rng)
         before, after = (word() + b" " + word() + [b" ", b": ", b' "', b"="][int(rng.integers(4))])[-CONTEXT:], (b" " + word() + b" " + word())[:CONTEXT]
-        # Every third is the end, or a middle part, of a longer run, as a key in a path is. The window that shows most of the secret is a finding, and those that show none of it are none.
-        start = b"" if i % 3 else b"/".join([b"", *(word() for _ in range(int(rng.integers(1, 14))))]) + [b"/", b"=", b"-"][int(rng.integers(3))]
-        end = b"" if i % 6 else b"/" + b"/".join(word() for _ in range(int(rng.integers(1, 8))))
+        # Some are the end, or a middle part, of a longer run, as a key in a path is. The window that shows most of the secret is a finding, and those that show none of it are none.
+        where = i // len(shapes) % 6
+        start = b"" if where % 3 else b"/".join([b"", *(word() for _ in range(int(rng.integers(1, 14))))]) + [b"/", b"=", b"-"][int(rng.integers(3))]
+        end = b"" if where else b"/" + b"/".join(word() for _ in range(int(rng.integers(1, 8))))
         raw = before + start + secret + end + after
         a, b = len(before), len(before + start + secret + end)
         seen = [(max(0, min(x + SEEN, a + len(start + secret)) - max(x, a + len(start))), w) for x, w in zip(starts(a, b), windows(raw, a, b), strict=True)]
-        positive.append(max(seen, key=lambda w: w[0])[1])
+        positive[name].append(max(seen, key=lambda w: w[0])[1])
         around += [w for n_seen, w in seen if not n_seen]
         first, *others = windows(before + plain + after, len(before), len(before + plain))
         negative.append(first)
@@ -253,30 +299,54 @@ def examples(n: int, words: list[bytes], seed: int = 5) -> tuple[list, list, lis
     return positive, negative, around
 
 
+def some(values: list, most: int = EACH) -> list:
+    """The values, or an even choice of that many."""
+    return values if len(values) <= most else [values[i] for i in np.linspace(0, len(values) - 1, most).astype(int)]
+
+
+def findings(raw: bytes) -> tuple[list[Window], list[Window], list[bytes]]:
+    """(windows of base findings, windows of other runs, words) of a text, EACH of them at most."""
+    found = base_spans(raw)
+    runs = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_=-]{8,}", raw) if outside(*m.span(), found) == [m.span()]]
+    plain = [(x, b) for a, b in runs for x in starts(a, b)]
+    return [windows(raw, a, b)[0] for a, b, _ in some(found)], [window(raw, x, b) for x, b in some(plain)], some(re.findall(rb"[A-Za-z]{2,12}", raw))
+
+
+_PARTS = pa.list_(pa.struct([("kind", pa.int32()), ("before", pa.binary()), ("seen", pa.binary()), ("after", pa.binary())]))
+
+
 def learn(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> Network:
-    """Trained on labelled findings of at most `sample` texts, half of them likely to hold secrets."""
+    """Trained on labelled findings of at most `sample` different texts, half of them likely to hold secrets.
+
+    Both passes are jobs over all tasks at once; executors pick the findings, so what the driver gets of a text is bounded however long it is.
+    """
     rows = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     hashed = rows.select("t", F.pmod(F.xxhash64("t"), F.lit(sample // 2)).alias("slot"), F.xxhash64("t", F.lit(1)).alias("h"))
     hashed = hashed.withColumn("hit", reduce(or_, (F.contains("t", F.lit(x)) for x in HINTS)))
     texts = hashed.groupBy("hit", "slot").agg(F.min("h").alias("h"))
-    picked = hashed.join(F.broadcast(texts), ["hit", "slot", "h"], "left_semi").select("h", F.col("t").cast("binary").alias("t"))
-    return fit_on(sorted({bytes(r["t"]) for r in picked.toLocalIterator()}))
-
-
-def fit_on(texts: list[bytes], sample: int = SAMPLE) -> Network:
-    positive, negative, words = [], [], []
-    for raw in texts:
-        found = base_spans(raw)
-        if len(positive) < sample:
-            positive += [windows(raw, a, b)[0] for a, b, _ in found]
-        if len(negative) < sample:
-            for m in re.finditer(rb"[A-Za-z0-9+/_=-]{8,}", raw):
-                if len(negative) < sample and not any(s < m.end() and m.start() < e for s, e, _ in found):
-                    negative += windows(raw, *m.span())
-        if len(words) < 5000:
-            words += re.findall(rb"[A-Za-z]{2,12}", raw[:2000])
-    p, n, around = examples(800, words)
-    return train(positive[:sample], negative[:sample] + n + around, p)
+    picked = hashed.join(F.broadcast(texts), ["hit", "slot", "h"], "left_semi").select("h", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1):
+            rows = [[{"kind": k, "before": w[0], "seen": w[1], "after": w[2]} for k, part in enumerate((p, n, [(b"", x, b"") for x in words])) for w in part] for p, n, words in map(findings, as_bytes(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _PARTS)], names=["h", "parts"])
+
+    found = picked.mapInArrow(run, "h long, parts array<struct<kind:int,before:binary,seen:binary,after:binary>>")
+    got = sorted(found.groupBy("h").agg(F.any_value("parts").alias("parts")).toArrow().to_pylist(), key=lambda r: r["h"])
+    parts = [[(w["before"], w["seen"], w["after"]) for r in got for w in r["parts"] if w["kind"] == k] for k in range(3)]
+    return fit(parts[0], parts[1], [w for _, w, _ in parts[2]])
+
+
+def fit_on(texts: list[bytes]) -> Network:
+    found = [findings(raw) for raw in sorted(set(texts))]
+    return fit(*([x for f in found for x in f[k]] for k in range(3)))
+
+
+def fit(positive: list[Window], negative: list[Window], words: list[bytes], sample: int = SAMPLE) -> Network:
+    """Trained on `sample` findings of the corpus of each kind at most, and on generated ones."""
+    p, n, around = examples(2400, words)
+    held = examples(1000, words, 6)[0] | examples(600, words, 7, UNSEEN)[0]
+    return train(some(positive, sample) + sum(p.values(), []), some(negative, sample) + n + some(around, 2000), held)
 
 
 # --- scanning --------------------------------------------------------------------------------------------------------
@@ -286,8 +356,8 @@ _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", p
 
 
 def scan_texts(texts: list[str | None], net: Network | None) -> list[list[dict]]:
-    """Spans of each text by start, then kind. Base findings have no probability."""
-    found, bases, asked, most, owner, seen = [], [], [], [], [], []
+    """Spans of each text by start, then kind, with their probabilities if there is a network."""
+    raws, bases, asked, most, owner, seen = [], [], [], [], [], []
 
     def judge() -> None:
         for k, p in zip(owner, net.probability(features(seen)).tolist(), strict=True):
@@ -295,35 +365,42 @@ def scan_texts(texts: list[str | None], net: Network | None) -> list[list[dict]]
         owner.clear()
         seen.clear()
 
+    def ask(i: int, a: int, b: int, kind: int, at: Iterator[int]) -> None:
+        asked.append((i, a, b, kind))
+        most.append(0.0)
+        for x in at:
+            owner.append(len(asked) - 1)
+            seen.append(window(raws[i], x, b))
+            if len(seen) == 1024:
+                judge()
+
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace")
-        base = base_spans(raw)
-        bases.append(base)
-        found.append((raw, [(a, b, k, None) for a, b, k in base]))
-        if net is not None and len(raw) >= CANDIDATE_LEAST:
-            for a, b in candidates(raw, base):
-                asked.append((i, a, b))
-                most.append(0.0)
-                for x in starts(a, b):
-                    if base and not outside(x, min(b, x + SEEN), base):
-                        continue  # of base findings alone, which tell nothing of the rest
-                    owner.append(len(asked) - 1)
-                    seen.append(window(raw, x, b))
-                    if len(seen) == 1024:
-                        judge()
+        raws.append(raw)
+        bases.append(base := base_spans(raw))
+        if net is None:
+            continue
+        for a, b, kind in base:
+            ask(i, a, b, kind, starts(a, b))
+        if len(raw) >= CANDIDATE_LEAST:
+            for a, b in candidates(raw, base):  # windows of base findings alone tell nothing of the rest
+                ask(i, a, b, KINDS.index("model"), (x for x in starts(a, b) if not base or outside(x, min(b, x + SEEN), base)))
     if seen:
         judge()
-    for (i, a, b), p in zip(asked, most, strict=True):
-        if p >= net.threshold:
-            found[i][1].extend((*part, 3, p) for part in outside(a, b, bases[i]))
+    found = [[] for _ in texts] if net else [[(*span, None) for span in base] for base in bases]
+    for (i, a, b, kind), p in zip(asked, most, strict=True):
+        if kind != KINDS.index("model"):
+            found[i].append((a, b, kind, p))
+        elif p >= net.threshold:
+            found[i].extend((*part, kind, p) for part in outside(a, b, bases[i]))
     out = []
-    for raw, spans in found:
-        at, seen, rows = 0, 0, []
+    for raw, spans in zip(raws, found, strict=True):
+        at, upto, rows = 0, 0, []
         points = {}
         for x in sorted({x for a, b, _, _ in spans for x in (a, b)}):
-            seen += len(raw[at:x].decode("utf-8", "ignore"))
+            upto += len(raw[at:x].decode("utf-8", "ignore"))
             at = x
-            points[x] = seen
+            points[x] = upto
         for a, b, k, p in sorted(spans, key=lambda s: (s[0], s[2])):
             rows.append({"kind": KINDS[k], "start": points[a], "end": points[b], "probability": p})
         out.append(rows)
@@ -332,6 +409,7 @@ def scan_texts(texts: list[str | None], net: Network | None) -> list[list[dict]]
 
 def scan(docs: DataFrame, text_col: str, net: Network | None, out: str = "spans") -> DataFrame:
     """docs with the column out: an array of (kind, start, end, probability)."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(SPAN))])

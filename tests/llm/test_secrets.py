@@ -44,9 +44,12 @@ def net(docs):
 
 def test_the_network_finds_what_rules_miss(net):
     words = [b"harbour", b"letters", b"meadow"]
-    hidden, plain = secrets.generated(200, words, seed=99)
-    p, q = net.probability(secrets.features(hidden)), net.probability(secrets.features(plain))
-    assert (p >= net.threshold).mean() > 0.9 and (q >= net.threshold).mean() < 0.05
+    hidden, plain, around = secrets.examples(600, words, 99)
+    unseen = secrets.examples(600, words, 98, secrets.UNSEEN)[0]
+    reached = lambda windows: float((net.probability(secrets.features(windows)) >= net.threshold).mean())
+    recall = {name: reached(w) for name, w in (hidden | unseen).items()}
+    assert min(recall.values()) > 0.9 and sum(recall.values()) / len(recall) > 0.98 and min(recall[name] for name in secrets.UNSEEN) > 0.97, recall
+    assert reached(plain) < 0.05 and reached(around) < 0.05
     spans = secrets.scan_texts(["our key is ghp_a8Kd02LmQz71XvT9bYwPn4RrE6JtUc3HsO5i for now", "see https-and-long-words-2024-edition-of-the-report, please"], net)
     assert [s["kind"] for s in spans[0]] == ["model"] and not spans[1]
 
@@ -55,7 +58,8 @@ def test_gradients(net):
     """One step on one batch lowers its loss."""
     import numpy as np
 
-    x, y = secrets.features([*secrets.generated(32, [])[0], *secrets.generated(32, [])[1]]), np.repeat([1.0, 0.0], 32).astype(np.float32)
+    hidden, plain, _ = secrets.examples(40, [])
+    x, y = secrets.features([*sum(hidden.values(), []), *plain]), np.repeat([1.0, 0.0], 40).astype(np.float32)
     fresh, state = secrets.Network.new(), {}
     loss = lambda: float(np.logaddexp(0, np.where(y == 1, -1, 1) * fresh.logits(x)).mean())
     before = loss()
@@ -76,17 +80,30 @@ def test_learning_and_redaction(spark, docs):
 
 
 def test_the_threshold_follows_from_the_recall_alone(net):
-    """Look-alikes among the secrets bring the threshold down as far as the recall asks, and easy base findings do not count for it."""
-    import numpy as np
-
-    p, n = secrets.generated(150, [], seed=3)
+    """Look-alikes among a shape bring the threshold down as far as the recall asks, and easy base findings do not count for it."""
+    hidden, plain, _ = secrets.examples(400, [], 3)
     easy = [(b"x ", b"0123456789abcdef", b" y")] * 1000
-    hard = secrets.train(easy, n, [*p, *n[:40]])
-    kind = np.repeat([1, 0, 2], [len(easy), len(n), len(p) + 40])[np.random.default_rng(11).permutation(len(easy) + len(n) + len(p) + 40)]
-    found = secrets.features([*easy, *n, *p, *n[:40]])[np.random.default_rng(11).permutation(len(kind))]
-    of_net = hard.probability(found[(np.arange(len(kind)) % 5 == 0) & (kind == 2)])
-    assert (of_net >= hard.threshold).mean() >= secrets.RECALL and hard.threshold < 0.9
-    assert 0 < hard.precision < 1 and net.precision > 0.9
+    shapes = {"easy": easy[:100], "hard": hidden["alphanumeric"] + plain[:20]}
+    hard = secrets.train(easy + sum(hidden.values(), []), plain, shapes)
+    reached = {name: (hard.probability(secrets.features(w)) >= hard.threshold).mean() for name, w in shapes.items()}
+    assert min(reached.values()) >= secrets.RECALL and hard.threshold < 0.9 and hard.recalls == reached
+    assert 0 < hard.precision < 1 and net.precision > 0.9 and set(net.recalls) == {*secrets.SHAPES, *secrets.UNSEEN} and min(net.recalls.values()) >= secrets.RECALL
+
+
+def test_what_is_learned_from(spark, docs):
+    """However long or often repeated a text is, what the driver gets of it is bounded."""
+    raw = b"token = abcdefghijklmnop and a0b1c2d3e4f5a6b7 with plainrunsoftext\n" * 1000
+    assert [len(x) for x in secrets.findings(raw)] == [secrets.EACH] * 3
+    df = spark.createDataFrame([*docs, *docs, *[(1, raw.decode())] * 50], "doc_id long, text string")
+    one, other = secrets.learn(df, "text"), secrets.learn(df.repartition(7), "text")
+    assert one.threshold == other.threshold and (one.conv == other.conv).all()
+
+
+def test_base_findings_are_scored(net):
+    text = "password = Xq7ZtRbK2mWvNc8YpLs4 and 0123456789abcdef0123456789abcdef"
+    spans = secrets.scan_texts([text], net)[0]
+    assert [s["kind"] for s in spans] == ["assign", "hex"] and all(0 <= s["probability"] <= 1 for s in spans)
+    assert [{**s, "probability": None} for s in spans] == secrets.scan_texts([text], None)[0]
 
 
 def test_a_long_candidate_is_seen_to_its_end(net):
