@@ -12,13 +12,14 @@ exactly, from their texts. Documents with equal multisets form one class, whose
 for it. In each band's bucket all are compared with one leader, never all with all. Those that then are not
 connected with the leader may still be linked with others of the bucket; but one less similarity is a metric,
 so only with those whose similarity to the leader is as great, give or take 0.2, and sketches of how each
-differs from the leader bound how alike two can be. Pairs that pass both bounds are compared one by one, so no
+differs from the leader bound how alike two can be. This judging is quadratic in the members of a bucket that are apart from
+its leader, so it is dealt out by pairs of blocks. Pairs that pass both bounds are compared one by one, so no
 link between candidates is lost. Classes are the components of the links.
 
 Words are as everywhere here, A-Z lower-cased. Defined results: a text of one to four words is one shingle; a null
-text or one without words is alone; null ids sort before all ids; a document is an id with a text, so texts of one
-id, or of null ids, are judged each on its own, and one of each class is kept; repeated rows, of one id and text,
-each give a row, all alike; extra columns are ignored.
+text or one without words is alone; null ids sort after all ids, so a class that has an id is named by one, and a class of null
+ids alone has a null name; a document is an id with a text, so texts of one id, or of null ids, are judged each on its
+own, and one of each class is kept; repeated rows, of one id and text, each give a row, all alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, components, mix, small, stored, table
-from .substring import place, range_hash
+from .common import Words, as_bytes, components, discard, mix, small, stored, table
+from .substring import range_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8, 24 bands of 4 registers miss one pair in 300,000.
 BANDS, ROWS = 24, 4
+#: Rows on either side of a block of pairs that are judged in one task; and how many buckets may be told to be larger by broadcast.
+BLOCK, BROADCAST_ROWS = 1024, 500_000
 _HASH = np.uint64((1 << 44) - 1)
+_LAST = (1 << 63) - 1
+
+
+def place(id_col: str) -> Column:
+    """What documents are ordered by."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
 
 
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,11 +223,20 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     named = lambda df, side: df.select("key", "nth", "slot", *(F.col(c).alias(side + n) for c, n in short.items()))
     x = named(open_.where("apart").withColumn("slot", slot), "p")
     y = named(open_.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))), "q").drop("nth")
+    # Where there are many of either, blocks of one meet blocks of the other, each pair of blocks on its own.
+    asked = open_.select("key", "apart", F.explode(F.array(F.struct((slot - 1).alias("slot"), F.lit(False).alias("own")), F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")))).alias("e"))
+    sizes = asked.groupBy("key", "e.slot").agg(F.count_if(F.col("apart") & F.col("e.own")).alias("p"), F.count("*").alias("q")).where((F.col("q") > BLOCK) & (F.col("p") > 0))
+    sizes = stored(sizes.select("key", "slot", F.ceil(F.col("p") / BLOCK).cast("int").alias("pm"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qm")))
+    beside = F.broadcast if sizes.count() <= BROADCAST_ROWS else (lambda df: df)
+    of_block = lambda side, n: F.pmod(F.xxhash64(side), F.coalesce(n, F.lit(1))).cast("int").alias(f"{side}k")
+    every_block = lambda side, n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1)).alias(f"{side}k")
+    x = x.join(beside(sizes), ["key", "slot"], "left").select("*", of_block("p", F.col("pm")), every_block("q", "qm")).drop("pm", "qm")
+    y = y.join(beside(sizes), ["key", "slot"], "left").select("*", of_block("q", F.col("qm")), every_block("p", "pm")).drop("pm", "qm")
     near = (F.col("pc") != F.col("qc")) & (F.abs(F.col("ps") - F.col("qs")) <= width) & (~F.col("qx") | (F.col("p") < F.col("q"))) & may_link(similarity, (0, 1, BITS, BITS + 1))
     # A pair is judged in the first of the buckets that it shares.
     near &= ~F.arrays_overlap(F.slice("pb", F.lit(1), F.col("nth")), F.slice("qb", F.lit(1), F.col("nth")))
     near &= may_link(similarity)
-    cross = x.join(y, ["key", "slot"]).where(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    cross = x.join(y, ["key", "slot", "pk", "qk"]).where(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     more = compared(cross.join(done, ["a", "b"], "left_anti"), texts)
     if not more.where(F.col("s") >= similarity).isEmpty():
         label = linked(done.unionAll(more))
@@ -226,13 +244,14 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     least = grouped.groupBy("component").agg(F.min(F.struct("place", "th")).alias("least"))
     of_node = grouped.select("node", "component").join(least, "component").select("node", "least")
     group = member.select("place", "th", "of.*", "rows").join(of_node, "node", "left").withColumn("least", F.coalesce("least", "head"))
-    return group.select("place", "th", F.col("head.place").alias("copy_of"), F.col("least.place").alias("class"), F.col("least.th").alias("class_th"), "rows")
+    found = stored(group.select("place", "th", F.col("head.place").alias("copy_of"), F.col("least.place").alias("class"), F.col("least.th").alias("class_th"), "rows"))
+    discard(sketch, first, member, one, buckets, texts, done, scored, open_, sizes, more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """(id_col, copy_of, class_id, kept) of each row: kept is true of one document, an id with a text, in each class."""
     found = classes(docs, id_col, text_col, similarity)
-    found = stored(found)
     rows = docs.select(F.col(id_col), place(id_col).alias("place"), F.xxhash64(text_col).alias("th"))
     joined = rows.join(found, ["place", "th"], "left")
     own = F.col(id_col).cast("long")

@@ -101,5 +101,34 @@ def test_null_and_repeated_ids(spark):
     assert len(groups) == 7 and all(len(g) == 1 for g in groups.values())
     got = minhash.near_duplicates(df, "doc_id", "text").collect()
     assert len(got) == len(rows) and sum(r["kept"] for r in got) == 8  # the repeated row is kept with its like
+    assert {r["class_id"] for r in got} | {r["copy_of"] for r in got} <= {r["doc_id"] for r in got}
     stay = [(r["doc_id"], key(r["text"])) for r in corpus_pipeline.near(spark, df, "").collect()]
-    assert sorted(stay, key=str) == sorted([(None, "w1"), (None, "w2"), (None, "w3"), (6, "w4"), (6, "w5"), (9, "w6"), (10, "w7")], key=str)
+    assert sorted(stay, key=str) == sorted([(4, "w1"), (9, "w2"), (5, "w3"), (6, "w4"), (6, "w5"), (9, "w6"), (10, "w7")], key=str)
+
+
+def test_classes_of_null_ids(spark):
+    """A class that has an id is named by it; one of null ids alone has no name, and keeps one document."""
+    text = lambda k, edit="": " ".join(f"w{k}_{i}" for i in range(80)) + edit
+    df = spark.createDataFrame([(None, text(1)), (8, text(1, " x")), (None, text(2)), (None, text(2, " y")), (None, None), (3, "")], "doc_id long, text string")
+    got = minhash.near_duplicates(df, "doc_id", "text").collect()
+    assert sorted(((r["doc_id"], r["copy_of"], r["class_id"], r["kept"]) for r in got), key=repr) == sorted(
+        [(None, None, 8, False), (8, 8, 8, True), (None, None, None, True), (None, None, None, False), (None, None, None, True), (3, 3, 3, True)], key=repr
+    )
+
+
+def test_blocks_do_not_matter(spark, monkeypatch):
+    """Hot buckets whose members are apart from their leader, cut into blocks, with and without broadcasts."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(6):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows += [(3 * i + k, " ".join([*words[:-1], f"y{k}"])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    for limit in (minhash.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_ROWS", limit)
+        assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, "doc_id", "text").collect()} == want
