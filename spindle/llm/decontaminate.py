@@ -47,12 +47,12 @@ def hashes_of(words: Column) -> Column:
 
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(windows: words, k, at, h for each place of a shingle; owners: words, items): k is the shingle's size, items a sorted set of ids."""
+    """(windows: words, k, at, h for each place of a shingle; owners: words, item): k is the shingle's size, item the id of an item that has the window."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     cut = rows.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(window)))).alias("words"))
-    owners = cut.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    different = owners.select("words", F.least(F.size("words"), F.lit(shingle)).alias("k"))
+    owners = cut.distinct()
+    different = cut.select("words", F.least(F.size("words"), F.lit(shingle)).alias("k")).distinct()
     parts = None
     for k in range(1, shingle + 1):
         part = different.where(F.col("k") == k).select("words", "k", hashes_of(F.col("words")).alias("hashes"))
@@ -61,8 +61,8 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int, shingl
     return parts, owners
 
 
-def hits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(all: id, th, n_words of each document; found: id, th, start, end, items of each occurrence of a window)."""
+def hits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all: id, th, n_words of each document; found: id, th, start, end, words of each occurrence of a window; named: id, th, item of each item that occurs)."""
     windows, owners = windows_of(items, item_id, item_text, window, shingle)
     windows, owners = stored(windows), stored(owners)
     wanted = stored(windows.select("k", "h").distinct())
@@ -100,9 +100,11 @@ def hits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id:
     fits = (start >= 0) & (start + length <= F.col("n_words"))
     checked = seen.where("k > 0").join(small(prefix), ["k", "h"]).where(fits)
     checked = checked.where(F.slice("around", F.greatest(offset, F.lit(0)) + 1, length) == F.col("words"))
-    occurring = checked.select("id", "th", start.alias("start"), (start + length).alias("end"), "words").distinct()
-    named = occurring.join(small(owners), "words").select("id", "th", "start", "end", "items")
-    return seen.where("k = 0").select("id", "th", "n_words"), named
+    found = stored(checked.select("id", "th", start.alias("start"), (start + length).alias("end"), "words").distinct())
+    # One window may be in very many items: these meet each document and window once, and by broadcast only if they are few themselves.
+    beside = F.broadcast if owners.count() <= BROADCAST_ROWS else (lambda df: df)
+    named = found.select("id", "th", "words").distinct().join(beside(owners), "words").select("id", "th", "item")
+    return seen.where("k = 0").select("id", "th", "n_words"), found, named
 
 
 def covered(intervals: Column) -> Column:
@@ -114,8 +116,9 @@ def covered(intervals: Column) -> Column:
 
 def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE, least_share: int = 20) -> DataFrame:
     """Of each document: id, th (hash of its text), n_words, n_hit, items (sorted ids), contaminated (a least_share-th of its words or more is hit)."""
-    everything, found = hits(docs, id_col, text_col, items, item_id, item_text, window, shingle)
-    one = found.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    everything, found, named = hits(docs, id_col, text_col, items, item_id, item_text, window, shingle)
+    parts = found.select("id", "th", F.struct("start", "end").alias("span")).unionByName(named.distinct(), allowMissingColumns=True)
+    one = parts.groupBy("id", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     one = one.select(F.col("id").alias("i2"), F.col("th").alias("t2"), covered(F.col("spans")).cast("long").alias("hit"), "items")
     both = everything.join(one, F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("t2")), "left")
     n_hit, n_words = F.coalesce("hit", F.lit(0)).cast("long"), F.col("n_words").cast("long")
