@@ -10,7 +10,8 @@ Only DataFrame functions are used, and payloads are not shuffled: what is joined
 
 Defined results: a null URL has the canonical URL '' and is resolved among its like; null times sort before all others;
 records of one URL at one time are taken in the order of their ids, so a response counts as earlier than a
-revisit of that time if its id is smaller; repeated rows each give a row; a validator that either side
+revisit of that time if its id is smaller; repeated rows each give a row; names of headers have no case, and come out in lower case, and of a
+name that a record has in several cases the last value in the order of these counts; a validator that either side
 lacks is not checked, and a revisit without any checked validator counts as unchecked; extra columns are
 ignored.
 """
@@ -42,13 +43,21 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def folded(headers: Column) -> Column:
+    """A map with its names in lower case; of names that then are equal, the last in their order counts."""
+    entries = F.array_sort(F.map_entries(headers))
+    low = F.transform(entries, lambda e: F.lower(e["key"]))
+    last = F.filter(F.transform(entries, lambda e, i: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), (~F.array_contains(F.slice(low, i + 2, F.size(low)), F.lower(e["key"]))).alias("last"))), lambda e: e["last"])
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
 def resolve(records: DataFrame, slice_size: int = SLICE) -> DataFrame:
     """Each revisit and response of records (record_id, url, at long, revisit boolean, digest, headers map<string,string>).
 
     Adds `status` (full, resolved, unchecked, mismatch or missing), `source_id` and `source_digest` (those of the
     response that stands for it; null for mismatch and missing) and `merged` (the headers it then has).
     """
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), "at", F.coalesce("revisit", F.lit(False)).alias("revisit"), "digest", "headers")
+    rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), "at", F.coalesce("revisit", F.lit(False)).alias("revisit"), "digest", folded(F.col("headers")).alias("headers"))
     rows = rows.withColumn("slice", F.floor(F.coalesce("at", F.lit(-(2**62))) / slice_size))
     response = F.when(~F.col("revisit"), F.struct("record_id", "digest", "headers"))
     within = Window.partitionBy("url", "slice").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +81,7 @@ def resolve(records: DataFrame, slice_size: int = SLICE) -> DataFrame:
     found = found.withColumn("status", status)
     stands = F.col("status").isin("resolved", "unchecked")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    allowed = F.map_filter(F.coalesce("headers", empty), lambda k, v: F.lower(k).isin(*PERMITTED))
+    allowed = F.map_filter(F.coalesce("headers", empty), lambda k, v: k.isin(*PERMITTED))
     kept = F.map_filter(F.coalesce("prior.headers", empty), lambda k, v: ~F.map_contains_key(allowed, k))
     return found.select(
         "record_id", "url", "at", "revisit", "status",
@@ -89,26 +98,27 @@ LAG = 500
 def page_records(pages: DataFrame) -> DataFrame:
     """Capture records of pages, whose ids are times.
 
-    Each page gives a full response at its id, with twice its id as record id, and a not-modified revisit LAG
-    later, with the next record id; but of pages whose id leaves 4 when divided by 5 only the revisit was
-    kept. The table has no headers, so they follow from the row: the entity tag is the first part of
-    the page's path, but for revisits whose page id leaves 5 when divided by 7, which ask about another one;
-    all have a date and a server, and a response has its media type and length.
+    Each page gives a full response at its id and a not-modified revisit LAG later; a page whose id leaves 4
+    when divided by 5 also gives a revisit of another URL, of which no response was kept. Record ids are four times the
+    page's, and 0, 1 or 2. The table has no headers, so they follow from the row, named as servers name them in responses
+    and in lower case in revisits: the entity tag is the first part of the URL's path, but for revisits whose page
+    id leaves 5 when divided by 7, which ask about another one; all have a date and a server, and a response has its media
+    type and length.
     """
-    kinds = F.when(F.coalesce(F.col("page_id") % 5 == 4, F.lit(False)), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    orphan = F.coalesce(F.col("page_id") % 5 == 4, F.lit(False))
+    kinds = F.when(orphan, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
     rows = pages.select(
         "page_id", "url", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("digest"),
         F.coalesce(F.octet_length("html"), F.lit(0)).cast("string").alias("length"), F.explode(kinds).alias("kind"),
     )
-    revisit = F.col("kind") == 1
+    rows = rows.withColumn("url", F.when(F.col("kind") == 2, F.concat(F.lit("gone.example/"), F.col("page_id"))).otherwise(F.col("url")))
+    revisit = F.col("kind") > 0
     tag = F.concat(F.lit('"'), F.regexp_extract(canonical_url(F.col("url")), r"^[^/]*(/[^/?]*)?", 1), F.when(revisit & (F.col("page_id") % 7 == 5), "-new").otherwise(""), F.lit('"'))
-    at = F.col("page_id") + F.col("kind") * LAG
-    common = [F.lit("etag"), tag, F.lit("date"), F.coalesce(at.cast("string"), F.lit("")), F.lit("server"), F.when(revisit, "edge").otherwise("origin")]
-    full = [F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("length")]
-    return rows.select(
-        (F.col("page_id") * 2 + F.col("kind")).alias("record_id"), "url", at.alias("at"), revisit.alias("revisit"), "digest",
-        F.when(revisit, F.create_map(*common)).otherwise(F.create_map(*common, *full)).alias("headers"),
-    )
+    at = F.col("page_id") + F.when(revisit, LAG).otherwise(0)
+    date = F.coalesce(at.cast("string"), F.lit(""))
+    asked = F.create_map(F.lit("etag"), tag, F.lit("date"), date, F.lit("server"), F.lit("edge"))
+    full = F.create_map(F.lit("ETag"), tag, F.lit("Date"), date, F.lit("Server"), F.lit("origin"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("length"))
+    return rows.select((F.col("page_id") * 4 + F.col("kind")).alias("record_id"), "url", at.alias("at"), revisit.alias("revisit"), "digest", F.when(revisit, asked).otherwise(full).alias("headers"))
 
 
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +138,9 @@ WITH cut AS (
 ), urls AS (
   SELECT page_id, html, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url FROM parts
 ), records AS (
-  SELECT page_id * 2 + kind AS record_id, page_id + kind * 500 AS ts, url, kind = 1 AS revisit, sha256(coalesce(html, '')) AS digest, coalesce(strlen(html), 0) AS len,
-    '"' || regexp_extract(url, '^[^/]*(/[^/?]*)?', 1) || CASE WHEN kind = 1 AND page_id % 7 = 5 THEN '-new' ELSE '' END || '"' AS etag
-  FROM urls, (VALUES (0), (1)) k(kind) WHERE kind = 1 OR page_id % 5 <> 4
+  SELECT page_id * 4 + kind AS record_id, page_id + CASE WHEN kind > 0 THEN 500 ELSE 0 END AS ts, url, kind > 0 AS revisit, sha256(coalesce(html, '')) AS digest, coalesce(strlen(html), 0) AS len,
+    '"' || regexp_extract(url, '^[^/]*(/[^/?]*)?', 1) || CASE WHEN kind > 0 AND page_id % 7 = 5 THEN '-new' ELSE '' END || '"' AS etag
+  FROM (SELECT page_id, html, kind, CASE WHEN kind = 2 THEN 'gone.example/' || page_id ELSE url END AS url FROM urls, (VALUES (0), (1), (2)) k(kind) WHERE kind < 2 OR page_id % 5 = 4)
 ), latest AS (
   SELECT *, max(CASE WHEN revisit THEN NULL ELSE {'t': ts, 'id': record_id} END)
     OVER (PARTITION BY url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM records

@@ -28,6 +28,16 @@ def test_resolution(spark):
     assert got[6]["merged"] == {"etag": "2", "date": "z"}
 
 
+def test_header_names_have_no_case(spark):
+    rows = [
+        (1, "a.com/", 1, False, "d1", {"ETag": "1", "Date": "a", "Server": "s"}), (2, "a.com/", 2, True, None, {"ETAG": "2"}), (3, "a.com/", 3, True, None, {"eTag": "1", "DATE": "b", "Server": "evil"}),
+        (4, "a.com/", 4, True, None, {"Last-Modified": "x"}), (5, "b.com/", 1, False, "d2", {"Last-Modified": "x", "last-modified": "y"}), (6, "b.com/", 2, True, None, {"LAST-MODIFIED": "y"}), (7, "b.com/", 3, True, None, {"last-modified": "x"}),
+    ]
+    got = {r["record_id"]: (r["status"], r["merged"]) for r in warc.resolve(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)).collect()}
+    assert [got[k][0] for k in range(1, 8)] == ["full", "mismatch", "resolved", "unchecked", "full", "resolved", "mismatch"]
+    assert got[3][1] == {"etag": "1", "date": "b", "server": "s"} and got[5][1] == {"last-modified": "y"}
+
+
 @pytest.mark.parametrize("size", [1, 7, 10_000])
 def test_slices_do_not_matter(spark, size):
     """A hot URL over many slices."""
