@@ -4,9 +4,9 @@ from spindle.llm import embeddings
 
 
 def brute(rows, least=0.9):
-    good = [(i, np.asarray(v, dtype=float)) for i, v in rows if v and None not in v and np.isfinite(np.asarray(v, dtype=float)).all() and any(v) and len(v) == 8]
-    x = np.array([(u := v / np.abs(v).max()) / np.linalg.norm(u) for _, v in good])
-    g = x @ x.T >= least
+    good = [(i, np.asarray(v, dtype=float)) for i, v in rows if v and None not in v and np.isfinite(np.asarray(v, dtype=float)).all() and any(v)]
+    x = [(u := v / np.abs(v).max()) / np.linalg.norm(u) for _, v in good]
+    g = np.array([[len(a) == len(b) and a @ b >= least for b in x] for a in x]).reshape(len(x), len(x))
     np.fill_diagonal(g, False)
     label = {i: i for i, _ in rows}
     for _ in rows:
@@ -26,10 +26,10 @@ def found(spark, rows, **kw):
     return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got}
 
 
-def clusters(seed, n=600):
+def clusters(seed, n=600, dim=8):
     rng = np.random.default_rng(seed)
-    centre = rng.standard_normal((40, 8))
-    return [(i, (centre[rng.integers(40)] + 0.3 * rng.standard_normal(8)).tolist()) for i in range(n)]
+    centre = rng.standard_normal((40, dim))
+    return [(i, (centre[rng.integers(40)] + 0.3 * rng.standard_normal(dim)).tolist()) for i in range(n)]
 
 
 def test_recall_and_precision(spark, monkeypatch):
@@ -66,3 +66,34 @@ def test_no_link_is_missed_within_a_list():
     index = embeddings.fit(x, 4, subspaces=4, codes=16)
     a, b = embeddings.linked(index, 0, x, x, 0.9)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(i.tolist() for i in np.nonzero(np.einsum("ij,kj->ik", x, x) >= 0.9)), strict=True))
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of null ids are vectors like others; every class keeps one row, and no id is invented."""
+    v, w, x = [1.0] * 8, [1.0, -1.0] * 4, [1.0, 1.0, -1.0, -1.0] * 2
+    rows = [(None, v), (5, v), (7, v), (None, w), (None, w), (None, None), (9, x), (9, v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in embeddings.near_duplicates(df, "vec_id", "embedding").collect()]
+    assert sorted(got, key=repr) == sorted(
+        [(None, 3, 5, False), (5, 3, 5, True), (7, 3, 5, False), (None, 1, None, True), (None, 1, None, False), (None, 0, None, True), (9, 0, 5, False), (9, 3, 5, False)], key=repr
+    )
+
+
+def test_lengths_of_their_own(spark, monkeypatch):
+    """Vectors of several lengths, of which the sample may lack some."""
+    rows = [*clusters(3, 200), *((1000 + i, v) for i, v in clusters(4, 60, 5)), *((2000 + i, v) for i, v in clusters(5, 40, 3))]
+    assert found(spark, rows, probes=1000) == brute(rows)
+    keep = embeddings.sampled
+    monkeypatch.setattr(embeddings, "sampled", lambda df: {n: x for n, x in keep(df).items() if n != 5})
+    assert found(spark, rows, probes=1000) == brute(rows)
+
+
+def test_more_lists_than_clusters(spark, monkeypatch):
+    """Lists that outgrow the clusters of the sample cover all vectors, and lose next to nothing."""
+    monkeypatch.setattr(embeddings, "FIRST", 6)
+    rows = clusters(6, 500, 16)
+    index = embeddings.fit(embeddings.unit(np.array([v for _, v in rows]))[1], 60, np.sqrt(0.2))
+    assert len(index.coarse) > 30
+    got, want = found(spark, rows, lists=60), brute(rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(x[0] for x in got.values()) >= 0.98 * sum(x[0] for x in want.values())
