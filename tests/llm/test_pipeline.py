@@ -32,7 +32,7 @@ def test_against_a_plain_version(spark, stages):
     rows = [(i, t) for i, t in rows if label[i] == i]
     assert sorted(texts(stages["near"])) == sorted(rows)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    bad = {i for i, _, _, _, c in test_decontaminate.brute(rows, items) if c}
+    bad = {i for i, _, n_hit, *_ in test_decontaminate.brute(rows, items) if n_hit}
     rows = [(i, t) for i, t in rows if i not in bad]
     assert sorted(texts(stages["benchmark"])) == sorted(rows)
     cut = dict(texts(stages["secrets"]))
@@ -53,14 +53,26 @@ def test_run(spark, stages):
 
 
 def test_awkward_rows(spark, awkward):
-    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), 1, 2) for i, t in awkward], "doc_id long, text string, lang string, source string, n_chars long, place int, id int")
-    learned = spark.createDataFrame([(900 + i, f"some english words number {i} and {i * i} in a row", "en", "s", 30, 1, 2) for i in range(30)], docs.schema)
+    clashing = ["place", "id", "_id", "th", "_Th", "language", "_language", "certainty", "spans", "_spans", "class", "n_hit", "words"]
+    extra = list(range(len(clashing)))
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), *extra) for i, t in awkward], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in clashing))
+    learned = spark.createDataFrame([(900 + i, f"some english words number {i} and {i * i} in a row", "en", "s", 30, *extra) for i in range(30)], docs.schema)
     docs = docs.unionAll(learned)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "place", "id"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *clashing]
+    assert {tuple(r[c] for c in clashing) for r in docs.collect()} == {tuple(extra)}
     got = {r["doc_id"] for r in docs.collect()}
     assert {None, 4, 5, 6, 7, 8, 9, 10} <= got and not got & {1, 2, 3}
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_a_passage_in_a_long_document(spark):
+    """Any window of the benchmark in a document is enough, whatever its share; and without labels no document is rejected for its language."""
+    passage = next(t for t in (r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()) if len((t or "").split()) >= 20)
+    rows = [(1, "filler words go here " * 400 + passage + " and go on" * 300), (2, "filler words go here " * 400), (3, "12 34")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.benchmark(spark, docs, SMALL).collect()] in ([2, 3], [3, 2])
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SMALL).collect()} == {1, 2}
