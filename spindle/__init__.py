@@ -9,8 +9,8 @@ from importlib import import_module
 
 _RESULT = ("DiffResult", "diff")
 _MODEL = (
-    "Change", "ChangeOperation", "ConfigurationError", "Duplicate", "DuplicateKeyError", "DuplicatePolicy", "FieldChange", "FieldOperation", "FieldSummary", "InputError",
-    "MissingKeyPolicy", "Options", "ReconcileError", "ResourceError", "SchemaChange", "SchemaChangeOperation", "SchemaFieldProfile", "SchemaSummary", "SourceLocation", "Summary",
+    "Change", "ChangeOperation", "ConfigurationError", "DiffConfig", "Duplicate", "DuplicateKeyError", "DuplicatePolicy", "FieldChange", "FieldOperation", "FieldSummary", "InputError",
+    "MissingKeyPolicy", "ReconcileError", "ResourceError", "SchemaChange", "SchemaChangeOperation", "SchemaFieldProfile", "SchemaSummary", "SourceLocation", "Summary",
 )
 __all__ = [*_RESULT, *_MODEL]
 

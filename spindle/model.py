@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from enum import Enum
 from typing import Any
@@ -35,8 +35,8 @@ class InputError(ReconcileError):
 class DuplicateKeyError(InputError):
     """One identity on several lines, where that is not allowed."""
 
-    def __init__(self, key: tuple, text: str, source: str, lines: tuple[int, int]):
-        super().__init__(f"duplicate key {text} on lines {lines[0]}, {lines[1]}", source)
+    def __init__(self, key: tuple, text: str, source: str, lines: tuple[int, int] | None):
+        super().__init__(f"duplicate key {text}" + (f" on lines {lines[0]}, {lines[1]}" if lines else ""), source)
         self.key, self.lines = key, lines
 
 
@@ -89,12 +89,12 @@ class SchemaFieldProfile:
     parent_objects: int
     present: int
     nulls: int
-    booleans: int = 0
-    integers: int = 0
-    numbers: int = 0
-    strings: int = 0
-    objects: int = 0
-    arrays: int = 0
+    boolean_count: int
+    integer_count: int
+    number_count: int
+    string_count: int
+    object_count: int
+    array_count: int
 
     @property
     def missing(self) -> int:
@@ -110,7 +110,7 @@ class SchemaFieldProfile:
 
     @property
     def type_counts(self) -> dict[str, int]:
-        counts = (self.booleans, self.integers, self.numbers, self.strings, self.objects, self.arrays)
+        counts = (self.boolean_count, self.integer_count, self.number_count, self.string_count, self.object_count, self.array_count)
         return {name: n for name, n in zip(TYPES, counts, strict=True) if n}
 
     @property
@@ -128,14 +128,14 @@ class SchemaChange:
 
 @dataclass(frozen=True)
 class SchemaSummary:
-    fields_added: int
-    fields_removed: int
-    types_changed: int
-    nullability_changed: int
-    requiredness_changed: int
+    fields_added: int = 0
+    fields_removed: int = 0
+    types_changed: int = 0
+    nullability_changed: int = 0
+    requiredness_changed: int = 0
 
     @property
-    def has_changes(self) -> bool:
+    def different(self) -> bool:
         return any((self.fields_added, self.fields_removed, self.types_changed, self.nullability_changed, self.requiredness_changed))
 
 
@@ -145,8 +145,8 @@ class Summary:
     added: int
     deleted: int
     modified: int
-    old_duplicates: int
-    new_duplicates: int
+    old_duplicates: int = 0
+    new_duplicates: int = 0
     schema: SchemaSummary | None = None
 
     @property
@@ -159,7 +159,7 @@ class Summary:
 
     @property
     def has_schema_changes(self) -> bool:
-        return self.schema is not None and self.schema.has_changes
+        return self.schema is not None and self.schema.different
 
     @property
     def has_issues(self) -> bool:
@@ -170,8 +170,8 @@ class Summary:
 class FieldChange:
     op: FieldOperation
     path: str
-    old: Any
-    value: Any
+    old: Any = None
+    value: Any = None
 
 
 @dataclass(frozen=True)
@@ -217,15 +217,18 @@ class Duplicate:
 
 
 @dataclass(frozen=True)
-class Options:
+class DiffConfig:
+    """Options that have been checked; where_expression is the parsed filter."""
+
     key: tuple[str, ...]
     ignore: tuple[str, ...] = ()
     where: str | None = None
     duplicates: DuplicatePolicy = DuplicatePolicy.ERROR
-    missing_key: MissingKeyPolicy = MissingKeyPolicy.ERROR
+    where_expression: Any = None
     schema_diff: bool = False
     schema_ignore: tuple[str, ...] = ()
     format: str = "jsonl"
+    missing_key: MissingKeyPolicy = MissingKeyPolicy.ERROR
     field_diff: bool = False
 
 
@@ -233,49 +236,45 @@ def _listed(value: str | Sequence[str]) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
-def _pointers(values: str | Sequence[str]) -> tuple[str, ...]:
-    out = tuple(dict.fromkeys(_listed(values)))
-    for value in out:
-        try:
-            pointer.parse(value)
-        except ValueError as error:
-            raise ConfigurationError(str(error)) from None
-    return out
+def _fault(run, *arguments) -> str | None:
+    """What a call has to complain about."""
+    try:
+        run(*arguments)
+    except ValueError as error:
+        return str(error)
+    return None
 
 
-def _policy(kind: type[Enum], value: Any, name: str) -> Any:
-    try:
-        return kind(value)
-    except ValueError:
-        raise ConfigurationError(f"invalid {name} {value!r}") from None
+def _complaints(asked: dict[str, Any]) -> Iterator[str | None]:
+    """What is wrong with options, in the order in which it is told, which is fixed as the messages are."""
+    keys = asked["key"]
+    if not keys or not all(isinstance(k, str) and k for k in keys):
+        yield "at least one non-empty identity field is required"
+    yield "identity fields must not be repeated" if len({*keys}) < len(keys) else None
+    yield from (_fault(pointer.parse, text) for text in asked["ignore"])
+    covered = {pointer.parse(text) for text in asked["ignore"]}
+    yield from (f"identity field {k!r} cannot be ignored" for k in keys if (k,) in covered)
+    yield from (_fault(pointer.parse, text) for text in asked["schema_ignore"])
+    yield "schema_ignore requires schema_diff=True" if asked["schema_ignore"] and not asked["schema_diff"] else None
+    if asked["where"] is not None and (fault := _fault(jmespath.parse, asked["where"])):
+        yield f"invalid --where expression {asked['where']!r}: {fault}"
+    for name, told, allowed in (("duplicates", "duplicate policy", DuplicatePolicy), ("missing_key", "missing-key policy", MissingKeyPolicy)):
+        yield f"invalid {told} {asked[name]!r}" if _fault(allowed, asked[name]) else None
+    yield f"invalid format {asked['format']!r}" if asked["format"] not in ("jsonl", "json") else None
 
 
 def options(
     key: str | Sequence[str], ignore: str | Sequence[str] = (), where: str | None = None, duplicates: Any = "error", missing_key: Any = "error",
     schema_diff: bool = False, schema_ignore: str | Sequence[str] = (), format: str = "jsonl", field_diff: bool = False,
-) -> Options:
-    """Checks options, in the order in which their faults are told."""
-    keys = _listed(key)
-    if not keys or not all(isinstance(k, str) and k for k in keys):
-        raise ConfigurationError("at least one non-empty identity field is required")
-    if len(set(keys)) < len(keys):
-        raise ConfigurationError("identity fields must not be repeated")
-    keys.sort()
-    ignored = _pointers(ignore)
-    for text in ignored:
-        tokens = pointer.parse(text)
-        if len(tokens) == 1 and tokens[0] in keys:
-            raise ConfigurationError(f"identity field {tokens[0]!r} cannot be ignored")
-    schema_ignored = _pointers(schema_ignore)
-    if schema_ignored and not schema_diff:
-        raise ConfigurationError("schema_ignore requires schema_diff=True")
-    if where is not None:
-        try:
-            jmespath.parse(where)
-        except ValueError as error:
-            raise ConfigurationError(f"invalid --where expression {where!r}: {error}") from None
-    duplicates = _policy(DuplicatePolicy, duplicates, "duplicate policy")
-    missing_key = _policy(MissingKeyPolicy, missing_key, "missing-key policy")
-    if format not in ("jsonl", "json"):
-        raise ConfigurationError(f"invalid format {format!r}")
-    return Options(tuple(keys), ignored, where, duplicates, missing_key, bool(schema_diff), schema_ignored, format, bool(field_diff))
+) -> DiffConfig:
+    """The options as a DiffConfig, or the first complaint about them as a ConfigurationError."""
+    asked = {
+        "key": _listed(key), "ignore": tuple(dict.fromkeys(_listed(ignore))), "where": where, "duplicates": duplicates, "missing_key": missing_key, "schema_diff": bool(schema_diff),
+        "schema_ignore": tuple(dict.fromkeys(_listed(schema_ignore))), "format": format, "field_diff": bool(field_diff),
+    }
+    for complaint in _complaints(asked):
+        if complaint:
+            raise ConfigurationError(complaint)
+    parsed = None if where is None else jmespath.parse(where)
+    typed = {"key": tuple(sorted(asked["key"])), "duplicates": DuplicatePolicy(duplicates), "missing_key": MissingKeyPolicy(missing_key), "where_expression": parsed}
+    return DiffConfig(**asked | typed)
