@@ -1,7 +1,9 @@
 """One pass over a side's JSON records: filter, identity, content, fingerprint and profile, as rows.
 
-Rows are of three kinds: a record, an error of a line, and counts of a path (of its object occurrences, or of a
-member's values). Errors are data: the pass never fails, and the first one is told once all is read.
+Rows are of four kinds: a record, an error of a line, counts of a path (of its object occurrences, or of a
+member's values), and the number of lines of a block of a file. Errors are data: the pass never fails, and the first one is
+told once all is read. A line is known by its block and its place there; once all blocks are counted, numbered() gives its
+number, so a source is read once, and its text never shuffled for it.
 """
 
 from __future__ import annotations
@@ -11,16 +13,18 @@ from decimal import DecimalException
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindle.functions import canonical, jmespath, pointer
-from spindle.model import TYPES, MissingKeyPolicy, Options
+from spindle.model import TYPES, DiffConfig, MissingKeyPolicy
 
 SCHEMA = (
-    "kind string, side int, line long, identity binary, length long, digest binary, body binary, message string, "
+    "kind string, side int, block long, place long, identity binary, length long, digest binary, body binary, message string, "
     "path string, parent string, counts array<long>"
 )
 _ARROW = pa.schema([
-    ("kind", pa.string()), ("side", pa.int32()), ("line", pa.int64()), ("identity", pa.binary()), ("length", pa.int64()), ("digest", pa.binary()),
+    ("kind", pa.string()), ("side", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("identity", pa.binary()), ("length", pa.int64()), ("digest", pa.binary()),
     ("body", pa.binary()), ("message", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("counts", pa.list_(pa.int64())),
 ])
 #: Faults of a record's text.
@@ -37,9 +41,9 @@ class Fault(Exception):
 class Pass:
     """What is done with each record, in this order: object, filter, identity, ignored parts, content, profile."""
 
-    def __init__(self, options: Options):
+    def __init__(self, options: DiffConfig):
         self.options = options
-        self.where = None if options.where is None else jmespath.parse(options.where)
+        self.where = options.where_expression
         self.ignored, self.unprofiled = pointer.trie(options.ignore), pointer.trie(options.schema_ignore)
 
     def identity(self, record: dict) -> list:
@@ -106,19 +110,29 @@ class Pass:
                 counts[at] += 1
 
 
-def run(rows: DataFrame, side: int, options: Options, array_errors: bool = False) -> DataFrame:
-    """Index rows of one side's (line, raw)."""
+#: Blocks of files that are told to all tasks at once, at most; beyond that, index rows are shuffled to them.
+BROADCAST_BLOCKS = 2_000_000
+
+
+def run(rows: DataFrame, side: int, options: DiffConfig, array_errors: bool = False) -> DataFrame:
+    """Index rows of one side's (block, file, start, m, raw): the lines of a block come one after the other, and m counts them."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Pass(options)
+        blocks: dict[int, list] = {}  # file, start, m of the first line, number of lines
         for batch in batches:
             out: list[dict] = []
             fields, objects = {}, {}
-            lines, identities, lengths, digests, bodies = [], [], [], [], []
-            for line, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = {"kind": "error", "side": side, "line": line}
-                if array_errors and line == 0:
-                    out.append(row | {"line": None, "message": f"invalid input ({raw.decode()})"})
+            held: dict[str, list] = {name: [] for name in ("block", "place", "identity", "length", "digest", "body")}
+            for block, file, start, m, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = m  # of an array
+                if block is not None:
+                    seen = blocks.setdefault(block, [file, start, m, 0])
+                    seen[3] += 1
+                    place = m - seen[2] + 1
+                row = {"kind": "error", "side": side, "block": block, "place": place}
+                if array_errors and not m:
+                    out.append(row | {"place": None, "message": f"invalid input ({raw.decode()})"})
                     continue
                 try:
                     found = one.record(raw, fields, objects)
@@ -128,20 +142,31 @@ def run(rows: DataFrame, side: int, options: Options, array_errors: bool = False
                 if found is not None:
                     identity, content = found
                     length, digest = canonical.fingerprint(content)
-                    lines.append(line)
-                    identities.append(identity)
-                    lengths.append(length)
-                    digests.append(digest)
-                    bodies.append(content if options.field_diff else None)
+                    for name, x in zip(held, (block, place, identity, length, digest, content if options.field_diff else None), strict=True):
+                        held[name].append(x)
             out += [{"kind": "field", "side": side, "path": p, "parent": q, "counts": n} for (p, q), n in fields.items()]
             out += [{"kind": "object", "side": side, "path": p, "counts": [n]} for p, n in objects.items()]
-            if lines:
-                held = {"line": lines, "identity": identities, "length": lengths, "digest": digests, "body": bodies}
+            if n := len(held["place"]):
                 fixed = {"kind": "record", "side": side}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(held[f.name], f.type) if f.name in held else pa.repeat(pa.scalar(fixed.get(f.name), f.type), len(lines)) for f in _ARROW], schema=_ARROW
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(held[f.name], f.type) if f.name in held else pa.repeat(pa.scalar(fixed.get(f.name), f.type), n) for f in _ARROW], schema=_ARROW)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
-
-    return rows.select("line", "raw").mapInArrow(index, SCHEMA)
+        counted = [{"kind": "block", "side": side, "block": b, "place": n, "path": file, "counts": [start]} for b, (file, start, _, n) in blocks.items()]
+        if counted:
+            yield pa.RecordBatch.from_pylist(counted, schema=_ARROW)
+
+    return rows.select("block", "file", "start", "m", "raw").mapInArrow(index, SCHEMA)
+
+
+def numbered(index: DataFrame) -> DataFrame:
+    """Index rows with `line` instead of block and place: lines are counted through all files in the order of their names."""
+    blocks = index.where("kind = 'block'").select("block", "path", F.col("counts")[0].alias("start"), F.col("place").alias("n"))
+    # One row for each block of each file: a sum over all of them in one task is small.
+    before = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    n, different = blocks.agg(F.count("*"), F.count_distinct("block")).first()
+    if n != different:
+        raise ValueError("two blocks have one number")
+    told = F.broadcast(offsets) if n <= BROADCAST_BLOCKS else offsets
+    rest = [c for c in index.columns if c not in ("block", "place")]
+    return index.where("kind <> 'block'").join(told, "block", "left").select((F.col("place") + F.coalesce("before", F.lit(0))).alias("line"), *rest)

@@ -36,11 +36,18 @@ def discarded(records: DataFrame, policy: DuplicatePolicy) -> DataFrame:
 
 
 def paired(records: DataFrame) -> DataFrame:
-    """(identity, operation, old_line, new_line, old_body?, new_body?) of each identity of selected records: one full outer join."""
-    body = ["body"] if "body" in records.columns else []
-    side = lambda n, name: records.where(F.col("side") == n).select("identity", *(F.col(c).alias(f"{name}_{c}") for c in ["line", "length", "digest", *body]))
+    """(identity, operation, old_line, new_line) of each identity of selected records: one full outer join of fingerprints."""
+    side = lambda n, name: records.where(F.col("side") == n).select("identity", *(F.col(c).alias(f"{name}_{c}") for c in ("line", "length", "digest")))
     joined = side(0, "old").join(side(1, "new"), "identity", "full_outer")
-    return joined.select("identity", operation().alias("operation"), "old_line", "new_line", *(f"{s}_{c}" for c in body for s in ("old", "new")))
+    return joined.select("identity", operation().alias("operation"), "old_line", "new_line")
+
+
+def bodies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(identity, old_body, new_body) of pairs, from rows (side, identity, line, body): one join, and a sum where it put the rows."""
+    wanted = pairs.select("identity", "old_line", "new_line")
+    found = rows.join(wanted, "identity").where(F.col("line") == F.when(F.col("side") == 0, F.col("old_line")).otherwise(F.col("new_line")))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("body")))
+    return found.groupBy("identity").agg(of(0).alias("old_body"), of(1).alias("new_body"))
 
 
 def operation():

@@ -29,7 +29,7 @@ def _change(change: Change) -> dict:
 
 def events(result: DiffResult) -> Iterator[dict]:
     """All events: meta, schema changes, duplicates, changes, field summaries, summary."""
-    o, s = result.options, result.summary
+    o, s = result.config, result.summary
     meta = {"type": "meta", "key": list(o.key), "ignore": list(o.ignore), "where": o.where, "duplicates": o.duplicates.value, "missing_key": o.missing_key.value}
     if o.schema_diff:
         meta |= {"schema_diff": True, "schema_ignore": list(o.schema_ignore)}

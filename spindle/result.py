@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from spindle.functions import canonical
 from spindle.functions.patch import patch
 from spindle.model import (
-    SIDES, Change, ChangeOperation, Duplicate, DuplicateKeyError, DuplicatePolicy, FieldChange, FieldOperation, FieldSummary, InputError, Options, ResourceError, SchemaChange,
+    SIDES, Change, ChangeOperation, DiffConfig, Duplicate, DuplicateKeyError, DuplicatePolicy, FieldChange, FieldOperation, FieldSummary, InputError, ResourceError, SchemaChange,
     SchemaChangeOperation, SchemaFieldProfile, SchemaSummary, SourceLocation, Summary, options,
 )
 from spindle.operators import index, profile, reconcile
@@ -39,22 +38,22 @@ def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.appName("spindle").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def patched(pairs: DataFrame) -> DataFrame:
-    """pairs with `patch`, worked out where both bodies are there and the operation is modified."""
+def patched(bodies: DataFrame) -> DataFrame:
+    """(identity, patch) from (identity, old_body, new_body)."""
 
     @F.pandas_udf(PATCH)
     def patches(old: pd.Series, new: pd.Series) -> pd.Series:
         rows = []
         for a, b in zip(old, new, strict=True):
-            rows.append(None if a is None or b is None else [dict(zip(("op", "path", "old", "value"), x, strict=True)) for x in patch(canonical.decode(bytes(a)), canonical.decode(bytes(b)))])
+            rows.append([dict(zip(("op", "path", "old", "value"), x, strict=True)) for x in patch(canonical.decode(bytes(a)), canonical.decode(bytes(b)))])
         return pd.Series(rows)
 
-    return pairs.withColumn("patch", patches("old_body", "new_body"))
+    return bodies.select("identity", patches("old_body", "new_body").alias("patch"))
 
 
 class DiffResult:
-    def __init__(self, old: Any, new: Any, config: Options, spark: SparkSession | None = None):
-        self._sources, self.options, self._spark = (old, new), config, spark
+    def __init__(self, old: Any, new: Any, config: DiffConfig, spark: SparkSession | None = None):
+        self._sources, self.config, self._spark = (old, new), config, spark
         self._state, self._summary, self._fields = "new", None, None
 
     # --- life ---
@@ -95,27 +94,25 @@ class DiffResult:
         if failure is not None:
             raise failure
         self.index_df = sides[0].unionByName(sides[1])
-        body = ["body"] if self.options.field_diff else []
-        self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", "length", "digest", *body)
-        policy = self.options.duplicates
+        self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", "length", "digest")
+        policy = self.config.duplicates
         self.selected_df = self.records_df if policy is DuplicatePolicy.ERROR else reconcile.selected(self.records_df, policy)
-        pairs = reconcile.paired(self.selected_df)
-        if self.options.field_diff:
-            some = pairs.where("operation = 'modified'")
-            pairs = patched(some).unionByName(pairs.where("operation <> 'modified'").withColumn("patch", F.lit(None).cast(PATCH))).drop("old_body", "new_body")
-        self.pairs_df = self._workspace.store("pairs", pairs)
+        self.pairs_df = self._workspace.store("pairs", reconcile.paired(self.selected_df))
+        if self.config.field_diff:  # fingerprints have met; of bodies, only those of modified records are fetched
+            rows = self.index_df.where("kind = 'record'").select("side", "identity", "line", "body")
+            self.patches_df = self._workspace.store("patches", patched(reconcile.bodies(rows, self.pairs_df.where("operation = 'modified'"))))
         counts = reconcile.totals(self.pairs_df).first()
         extra = {} if policy is DuplicatePolicy.ERROR else {r["side"]: r["n"] for r in reconcile.duplicate_counts(self.records_df).collect()}
         schema = None
-        if self.options.schema_diff:
+        if self.config.schema_diff:
             self.schema_df = self._workspace.store("schema", profile.changes(profile.from_index(self.index_df)))
             schema = SchemaSummary(**profile.summary(self.schema_df).first().asDict())
         self._summary = Summary(counts["equal"], counts["added"], counts["deleted"], counts["modified"], extra.get(0, 0), extra.get(1, 0), schema)
 
     def _index(self, side: int, path: str) -> DataFrame:
-        rows = text.lines(self._spark, path) if self.options.format == "jsonl" else text.array_elements(self._spark, path)
+        rows = text.lines(self._spark, path) if self.config.format == "jsonl" else text.array_elements(self._spark, path)
         try:
-            return self._workspace.store(f"index-{side}", index.run(rows, side, self.options, self.options.format == "json"))
+            return index.numbered(self._workspace.store(f"index-{side}", index.run(rows, side, self.config, self.config.format == "json")))
         except Exception as error:
             if any(sign in str(error) for sign in UNREADABLE):
                 raise InputError("invalid input (OSError)", SIDES[side]) from error
@@ -125,7 +122,7 @@ class DiffResult:
         first = found.where("kind = 'error'").agg(F.min(F.struct(F.coalesce("line", F.lit(2**62)).alias("at"), "line", "message")).alias("e")).first()["e"]
         if first is not None:
             raise InputError(first["message"], SIDES[side], first["line"])
-        if self.options.duplicates is DuplicatePolicy.ERROR:
+        if self.config.duplicates is DuplicatePolicy.ERROR:
             records = found.where("kind = 'record'").select("side", "identity", "line")
             r = reconcile.repeated(records).orderBy("again").first()
             if r is not None:
@@ -163,9 +160,11 @@ class DiffResult:
         return tuple(canonical.decode(bytes(identity)))
 
     def changes_df(self, operation: ChangeOperation | str | None = None) -> DataFrame:
-        """Changed identities in the order of their canonical bytes."""
+        """Changed identities in the order of their canonical bytes, with their patches if there are any."""
         self._need_open()
         found = self.pairs_df.where("operation <> 'equal'")
+        if self.config.field_diff:
+            found = found.join(self.patches_df, "identity", "left")
         if operation is not None:
             found = found.where(F.col("operation") == ChangeOperation(operation).value)
         return found.orderBy("identity")
@@ -175,29 +174,29 @@ class DiffResult:
         for r in self.changes_df(operation).toLocalIterator():
             self._need_open()
             fields = None
-            if self.options.field_diff and r["patch"] is not None:
+            if self.config.field_diff and r["patch"] is not None:
                 value = lambda x: None if x is None else canonical.decode(x.encode())
                 fields = tuple(FieldChange(FieldOperation(p["op"]), p["path"], value(p["old"]), value(p["value"])) for p in r["patch"])
             yield Change(ChangeOperation(r["operation"]), self._key(r["identity"]), location(0, r["old_line"]), location(1, r["new_line"]), fields)
 
     def field_summary_df(self) -> DataFrame:
         self._need_open()
-        if not self.options.field_diff:
+        if not self.config.field_diff:
             raise RuntimeError("field diff was not enabled")
-        each = self.pairs_df.where("operation = 'modified'").select(F.explode("patch").alias("p"))
+        each = self.patches_df.select(F.explode("patch").alias("p"))
         count = lambda op, name: F.count_if(F.col("p.op") == op).alias(name)
         return each.groupBy(F.col("p.path").alias("path")).agg(count("add", "added"), count("remove", "removed"), count("replace", "replaced")).orderBy("path")
 
     def field_summary(self) -> Iterator[FieldSummary]:
-        if self._fields is None:
-            self._fields = self.field_summary_df().persist(StorageLevel.DISK_ONLY)
         self._need_open()
+        if self._fields is None:
+            self._fields = self._workspace.store("fields", self.field_summary_df()).orderBy("path")
         for r in self._fields.toLocalIterator():
             yield FieldSummary(*r)
 
     def schema_changes_df(self, operation: SchemaChangeOperation | str | None = None) -> DataFrame:
         self._need_open()
-        if not self.options.schema_diff:
+        if not self.config.schema_diff:
             raise RuntimeError("schema diff was not enabled")
         found = self.schema_df
         if operation is not None:
@@ -212,7 +211,7 @@ class DiffResult:
 
     def duplicates_df(self) -> DataFrame:
         self._need_open()
-        found = reconcile.discarded(self.records_df, self.options.duplicates)
+        found = reconcile.discarded(self.records_df, self.config.duplicates)
         return found.orderBy("side", "identity", "discarded_line")
 
     def duplicates(self) -> Iterator[Duplicate]:

@@ -1,8 +1,7 @@
 """Sources of JSON text: paths, URLs, streams, compressed or not, as rows (line, raw).
 
 Spark reads what it can split or decompress itself. What only the driver can open (HTTP, xz, streams) is staged to
-the workspace first. Line numbers come from a count of each block's lines, summed up over the blocks before
-it, so a file is read in parallel.
+the workspace first. Files are read in parallel, by blocks; lines get their numbers later, from counts of the blocks.
 """
 
 from __future__ import annotations
@@ -18,13 +17,14 @@ from urllib.request import url2pathname, urlopen
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spindle.functions import canonical
 from spindle.model import SIDES, InputError
 from spindle.sources.workspace import Workspace
 
 CHUNK = 1 << 20
+#: Seconds that a server may keep silent.
+TIMEOUT = 60
 READ_ERRORS = (OSError, EOFError, ValueError, RuntimeError, lzma.LZMAError)
 
 
@@ -70,7 +70,7 @@ def prepare(source: Any, side: int, workspace: Workspace) -> str:
                     pass
             return "file://" + re.sub(r"([*?\[\]{}\\])", r"\\\1", os.path.abspath(path))
         if urlsplit(name).scheme in ("http", "https"):
-            with urlopen(name) as stream:  # noqa: S310
+            with urlopen(name, timeout=TIMEOUT) as stream:  # noqa: S310
                 if _suffix(name) == ".xz":
                     return workspace.stage(f"{SIDES[side]}.jsonl", _chunks(lzma.LZMAFile(stream), side))
                 return workspace.stage(f"{SIDES[side]}.jsonl{_suffix(name) if _suffix(name) in ('.gz', '.bz2', '.zst') else ''}", _chunks(stream, side))
@@ -82,21 +82,14 @@ def prepare(source: Any, side: int, workspace: Workspace) -> str:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, raw) of each physical line, numbered from 1; of several files, in the order of their names."""
-    found = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("m"),
-    )
-    blocks = found.groupBy("file", "block").agg(F.min("m").alias("m0"), F.count("*").alias("n"))
-    # One row for each block of each file: a sum over all of them in one task is small.
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    joined = found.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
-    return joined.select((F.col("m") - F.col("m0") + F.col("before") + 1).alias("line"), "raw")
+    """(block, file, start, m, raw) of each physical line: what block of what file it is in, and m that rises by one within the block."""
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    found = spark.read.option("lineSep", "\n").text(path)
+    return found.select(F.xxhash64(file, start).alias("block"), file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("m"), F.col("value").cast("binary").alias("raw"))
 
 
 def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(line, raw) of each element of a file's top-level array, by place from 1; line 0 holds the name of an error that ended the reading."""
+    """(null block, file and start, m, raw) of each element of a file's top-level array, m its place from 1; m 0 holds the name of an error that ended the reading."""
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -106,16 +99,17 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
                     for k, (_, text) in enumerate(canonical.elements(bytes(content).decode("utf-8")), 1):
                         rows.append((k, text.encode("utf-8")))
                         if len(rows) == 1000:
-                            yield pd.DataFrame(rows, columns=["line", "raw"])
+                            yield pd.DataFrame(rows, columns=["m", "raw"])
                             rows = []
                 except (ValueError, ArithmeticError, RecursionError) as error:
                     rows.append((0, type(error).__name__.encode()))
-                yield pd.DataFrame(rows, columns=["line", "raw"])
+                yield pd.DataFrame(rows, columns=["m", "raw"])
 
     suffix = _suffix(path)
     if suffix in (".gz", ".bz2", ".zst"):  # one record that holds the whole decompressed text
         whole = spark.read.option("wholetext", True).text(path).select(F.col("value").cast("binary").alias("content"))
     else:
         whole = spark.read.format("binaryFile").load(path).select("content")
-    found = whole.mapInPandas(split, "line long, raw binary")
-    return found.repartition(spark.sparkContext.defaultParallelism)
+    # An element's place is its own number: the array is one block, of which m counts from 1 and not from its first row.
+    found = whole.mapInPandas(split, "m long, raw binary").repartition(spark.sparkContext.defaultParallelism)
+    return found.select(F.lit(None).cast("long").alias("block"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("start"), "m", "raw")
