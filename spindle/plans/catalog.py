@@ -133,7 +133,7 @@ def _identity_sql(*keys: str) -> str:
 
 @query("duplicate_counts", "SELECT side, CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT 0 AS side, count(*) AS n FROM lines GROUP BY l_orderkey, l_linenumber UNION ALL SELECT 1, count(*) FROM lines_new GROUP BY l_orderkey, l_linenumber) GROUP BY side")
 def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.duplicate_counts(_lines(spark, sf_dir, "first").records())
+    return _lines(spark, sf_dir, "first").duplicate_counts()
 
 
 _DUPLICATES = " UNION ALL ".join(
@@ -149,8 +149,8 @@ def duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("duplicate_error_detect", f"SELECT {_identity_sql('l_linenumber', 'l_orderkey')} AS identity, a[1] AS first, a[2] AS again FROM (SELECT l_orderkey, l_linenumber, list(line ORDER BY line) AS a FROM lines GROUP BY ALL HAVING count(*) > 1)")
 def duplicate_error_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reconcile.repeated(_lines(spark, sf_dir, "first").records().where("side = 0"))
-    return found.select(F.col("identity").cast("string").alias("identity"), "first", "again")
+    found = Frames(view(spark, sf_dir, "lines"), view(spark, sf_dir, "lines_new"), _LINE_KEYS, order="line", ignore=["/line"]).faults()
+    return found.where("side = 0 and fault = 'duplicate key'").select("identity", "first", "again")
 
 
 def _events(spark: SparkSession, sf_dir: str, **kw) -> Frames:
