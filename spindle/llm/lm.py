@@ -1,7 +1,7 @@
 """Scoring texts with a log-bilinear language model.
 
 Method: a log-bilinear neural model over symbols, trained in numpy with noise-contrastive estimation. The
-SYMBOLS most frequent words are symbols of their own; each other word falls in one of TAILS classes by its
+most frequent words are symbols of their own, as many as the root of the number of different words, within SYMBOLS; each other word falls in one of TAILS classes by its
 last letters and its length; the end of a text is a symbol, which also stands before its first word. The
 predicted vector of a place is the sum of its two preceding symbols' vectors, each weighted by position; a
 symbol's score is its product with that vector, plus a bias. Training needs no normaliser; scoring has the
@@ -9,8 +9,10 @@ exact one, as products of the matrices of vectors give the scores of all symbols
 preceding symbols. Within a class, a word has the add-one estimate from its count, with one place for
 words never seen, so the probabilities of all words sum to one.
 
-Counts are of all training texts, and training goes once over all of their tokens: each partition trains on its
-texts from a common start, and the models are averaged, weighted by their tokens. Counts of frequent words
+Counts are of all training texts, and training goes once over all of their tokens. Texts are dealt by a hash of their id and
+text to shards of about SHARD_TOKENS tokens, and within a shard to rounds: in a round, every shard trains on its texts in the
+order of their hashes, from the average of the round before; the models, with the state of their step sizes, are averaged
+by tokens. There are ROUNDS of them, and one more each time the number of shards doubles. So nothing hangs on how the rows lie in files. Counts of frequent words
 are broadcast, HEAD of them at most; those of other words are joined by a 64-bit hash of the word.
 
 Defined results: a null text is the empty text, whose one token is its end; ids may repeat, and null ids are not
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, mix, signed, small, stored, table
+from .common import Words, as_bytes, discard, mix, signed, small, stored, table
 from .langid import held_out
 
-#: Words that are symbols, classes of the others, and words whose counts are broadcast.
-SYMBOLS, TAILS, HEAD = 640, 127, 65_536
+#: Bounds of the number of words that are symbols: the exact normaliser is a table of all pairs of symbols, 57 MB in all at the upper one.
+SYMBOLS = (640, 2048)
+#: Classes of the other words, and words whose counts are broadcast.
+TAILS, HEAD = 127, 65_536
+#: Tokens of a shard, rounds of one shard, and tokens that are shuffled before they are learned from.
+SHARD_TOKENS, ROUNDS, MIXED = 4_000_000, 4, 65_536
 #: Dimensions, noise samples for each batch of places, places in a batch, learning rate.
 DIM, NOISE, BATCH, RATE = 24, 48, 8192, 0.15
 _END_HASH = int(mix(np.array([0x5DEECE66D], dtype=np.uint64)).view(np.int64)[0])
@@ -98,37 +104,51 @@ def sequences(words: Words, symbol: np.ndarray, end: int) -> tuple[np.ndarray, n
     return one, two, s[2:], doc
 
 
+def contexts(target: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one before, two before) of each token of whole texts in a row."""
+    one = np.concatenate([[end], target[:-1]])
+    two = np.concatenate([[end, end], target[:-2]])[: len(target)]
+    return one, np.where(one == end, end, two)
+
+
 @dataclass
 class Model:
-    """Vectors of preceding symbols and of predicted ones, weights of the two positions, biases."""
+    """Vectors of preceding symbols and of predicted ones, weights of the two positions, biases; then sums of squared gradients of each."""
 
     r: np.ndarray
     q: np.ndarray
     c: np.ndarray
     bias: np.ndarray
+    r_sums: np.ndarray
+    q_sums: np.ndarray
+    c_sums: np.ndarray
+    bias_sums: np.ndarray
 
     @classmethod
     def new(cls, counts: np.ndarray) -> Model:
         rng = np.random.default_rng(17)
         draw = lambda: (rng.standard_normal((len(counts), DIM)) * 0.1).astype(np.float32)
         p = (counts + 1) / (counts + 1).sum()
-        return cls(draw(), draw(), np.array([[1.0], [0.5]], dtype=np.float32) * np.ones((1, DIM), np.float32), np.log(p).astype(np.float32))
+        least = lambda *shape: np.full(shape, 1e-2, np.float32)
+        c = np.array([[1.0], [0.5]], dtype=np.float32) * np.ones((1, DIM), np.float32)
+        return cls(draw(), draw(), c, np.log(p).astype(np.float32), least(len(p)), least(len(p)), least(2, DIM), least(len(p)))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.q, self.c, self.bias, self.r_sums, self.q_sums, self.c_sums, self.bias_sums
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in (self.r, self.q, self.c, self.bias)])
+        return np.concatenate([x.reshape(-1) for x in self.parts()])
 
     def like(self, flat: np.ndarray) -> Model:
         parts, at = [], 0
-        for x in (self.r, self.q, self.c, self.bias):
+        for x in self.parts():
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return Model(*parts)
 
-    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, log_noise: np.ndarray, state: dict) -> None:
+    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, log_noise: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation; a batch shares its noise. AdaGrad over rows."""
-        rng = state.setdefault("rng", np.random.default_rng(23))
-        sums = state.setdefault("sums", [np.full(len(self.r), 1e-2, np.float32), np.full(len(self.q), 1e-2, np.float32), np.full(len(self.q), 1e-2, np.float32), np.full((2, DIM), 1e-2, np.float32)])
-        cumulative = state.setdefault("cumulative", np.cumsum(np.exp(log_noise)))
+        cumulative = np.cumsum(np.exp(log_noise))
         for i in range(0, len(target), BATCH):
             a, b, w = one[i : i + BATCH], two[i : i + BATCH], target[i : i + BATCH]
             n = len(w)
@@ -143,13 +163,13 @@ class Model:
             g = (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)  # pulls real words up
             f = (-1 / (1 + np.exp(np.clip(-fake, -30, 30)))).astype(np.float32)  # pushes noise down
             dh = g[:, None] * qw + f @ qn
-            self._add(self.q, sums[1], w, g[:, None] * h, n)
-            self._add(self.q, sums[1], noise, f.T @ h, n)
-            self._add_bias(sums[2], np.concatenate([w, noise]), np.concatenate([g, f.sum(0)]), n)
-            self._add(self.r, sums[0], np.concatenate([a, b]), np.concatenate([dh * self.c[0], dh * self.c[1]]), n)
+            self._add(self.q, self.q_sums, w, g[:, None] * h, n)
+            self._add(self.q, self.q_sums, noise, f.T @ h, n)
+            self._add_bias( np.concatenate([w, noise]), np.concatenate([g, f.sum(0)]), n)
+            self._add(self.r, self.r_sums, np.concatenate([a, b]), np.concatenate([dh * self.c[0], dh * self.c[1]]), n)
             dc = np.stack([(dh * ra).sum(0), (dh * rb).sum(0)]) / n
-            sums[3] += dc * dc
-            self.c += 0.1 * RATE * dc / np.sqrt(sums[3])
+            self.c_sums += dc * dc
+            self.c += 0.1 * RATE * dc / np.sqrt(self.c_sums)
 
     def _add(self, x: np.ndarray, sums: np.ndarray, at: np.ndarray, grad: np.ndarray, n: int) -> None:
         order = at.argsort(kind="stable")
@@ -160,10 +180,10 @@ class Model:
         sums[rows] += (total * total).mean(1)
         x[rows] += RATE * total / np.sqrt(sums[rows])[:, None]
 
-    def _add_bias(self, sums: np.ndarray, at: np.ndarray, grad: np.ndarray, n: int) -> None:
+    def _add_bias(self, at: np.ndarray, grad: np.ndarray, n: int) -> None:
         total = (np.bincount(at, grad, minlength=len(self.bias)) / n * 64).astype(np.float32)
-        sums += total * total
-        self.bias += 0.2 * RATE * total / np.sqrt(sums)
+        self.bias_sums += total * total
+        self.bias += 0.2 * RATE * total / np.sqrt(self.bias_sums)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores by the symbol before, scores by the one before that, log normaliser of each pair): a score is the sum of the first two, and of the bias."""
@@ -207,9 +227,10 @@ def count_words(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
     return stored(parts.groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")))
 
 
-def vocabulary(counts: DataFrame, size: int = SYMBOLS, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     words = counts.where("tail >= 0")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("tail") < 0, F.col("n"))), F.lit(0))).first()
+    size = int(np.clip(np.sqrt(totals[1]), *SYMBOLS))
     top = words.orderBy(F.desc("n"), "h").limit(head).toArrow()
     h, n, tail = (top[c].to_numpy() for c in ("h", "n", "tail"))
     symbol = np.where(np.arange(len(h)) < size, np.arange(len(h)), -1)
@@ -223,50 +244,101 @@ def vocabulary(counts: DataFrame, size: int = SYMBOLS, head: int = HEAD) -> Voca
     return Vocabulary(h[order], n[order], symbol[order], totals[0], totals[1], totals[2], class_n, class_v, int(own.sum()))
 
 
-def learn(docs: DataFrame, train: Column, text_col: str, vocab: Vocabulary) -> Model:
-    """Trained on all tokens of the training texts, in each partition on its own, then averaged by tokens."""
-    spark = docs.sparkSession
-    symbol_counts = np.zeros(vocab.total)
-    symbol_counts[vocab.symbols[vocab.symbols >= 0]] = vocab.counts[vocab.symbols >= 0]
-    symbol_counts[vocab.size : vocab.size + TAILS] = vocab.class_n
-    symbol_counts[-1] = vocab.end
-    start = Model.new(symbol_counts)
-    noise = np.log((symbol_counts + 1) / (symbol_counts + 1).sum()).astype(np.float32)
-    shared = spark.sparkContext.broadcast((vocab, start, noise))
+def symbol_counts(vocab: Vocabulary) -> np.ndarray:
+    out = np.zeros(vocab.total)
+    out[vocab.symbols[vocab.symbols >= 0]] = vocab.counts[vocab.symbols >= 0]
+    out[vocab.size : vocab.size + TAILS] = vocab.class_n
+    out[-1] = vocab.end
+    return out
+
+
+def learn(docs: DataFrame, train: Column, id_col: str, text_col: str, vocab: Vocabulary) -> Model:
+    """Trained on all tokens of the training texts, in rounds over shards."""
+    counts = symbol_counts(vocab)
+    model, noise = Model.new(counts), np.log((counts + 1) / (counts + 1).sum()).astype(np.float32)
+    shards = max(1, -(-vocab.n // SHARD_TOKENS))
+    rounds = ROUNDS + (shards - 1).bit_length()
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def symbolise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in small(batches, 1):
+            w = Words(as_bytes(batch.column(1)), lower=True)
+            target = sequences(w, symbols_of(w, v)[0], v.total - 1)[2].astype(np.uint16)
+            offsets = 2 * np.concatenate([[0], np.cumsum(np.diff(w.first) + 1)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(target)])], names=["h", "s"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.where(train).select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"))
+    dealt = texts.mapInArrow(symbolise, "h long, s binary").withColumn("unit", F.pmod("h", F.lit(shards * rounds)).cast("int"))
+    dealt = stored(dealt.sortWithinPartitions("unit"))  # so each round reads its own pages
+    for k in range(rounds):
+        model = averaged(dealt.where(F.col("unit").between(k * shards, (k + 1) * shards - 1)), shards, model, noise)
+    discard(dealt)
+    return model
+
+
+def averaged(part: DataFrame, shards: int, start: Model, noise: np.ndarray) -> Model:
+    """The average, by tokens, of the models that the units of part (unit, h, s) train from start."""
+    spark = part.sparkSession
+    shared = spark.sparkContext.broadcast((start, noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model, log_noise = shared.value
-        model, state, tokens = model.like(model.flat().copy()), {}, 0
-        for batch in small(batches, 0):
-            w = Words(as_bytes(batch.column(0)), lower=True)
-            one, two, target, _ = sequences(w, symbols_of(w, v)[0], v.total - 1)
-            order = np.random.default_rng(len(target)).permutation(len(target))
-            model.train(one[order], two[order], target[order], log_noise, state)
-            tokens += len(target)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(model.flat().astype(np.float64) * tokens).tobytes()])], names=["tokens", "sums"])
+        begun, log_noise = shared.value
+        end, now, model, rng, held, size, tokens = len(log_noise) - 1, None, None, None, [], 0, 0
+
+        def flush() -> None:
+            nonlocal size, tokens
+            if size:
+                target = np.concatenate(held).astype(np.int64)
+                one, two = contexts(target, end)
+                order = np.random.default_rng(size).permutation(size)
+                model.train(one[order], two[order], target[order], log_noise, rng)
+                tokens += size
+                size = 0
+                held.clear()
+
+        def result() -> pa.RecordBatch:
+            flush()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([tokens], pa.int64()), pa.array([(model.flat().astype(np.float64) * tokens).tobytes()])], names=["unit", "tokens", "sums"])
+
+        for batch in batches:
+            for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if unit != now:
+                    if now is not None:
+                        yield result()
+                    now, model, rng, tokens = unit, begun.like(begun.flat()), np.random.default_rng([23, unit]), 0
+                held.append(np.frombuffer(raw, dtype=np.uint16))
+                size += len(held[-1])
+                if size >= MIXED:  # at the end of a text, so it hangs on the order of the texts alone
+                    flush()
+        if now is not None:
+            yield result()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = 0, None
+        tokens, total, least = 0, None, None
         for batch in batches:
-            for t, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for unit, t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 x = np.frombuffer(raw.as_buffer(), dtype=np.float64)
                 total = x.copy() if total is None else total + x
-                tokens += t
+                tokens, least = tokens + t, unit if least is None else min(least, unit)
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()])], names=["tokens", "sums"])
-
-    texts = docs.where(train).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    trained = texts.mapInArrow(run, "tokens long, sums binary")
-    trained = stored(trained)
-    n = trained.count()
-    while n > 64:  # sums of sums, until few are left
-        n = max(1, n // 16)
-        trained = stored(trained.repartition(n).mapInArrow(add, "tokens long, sums binary"))
-    tokens, total = 0, np.zeros(start.flat().size)
-    for r in trained.toLocalIterator():
-        tokens += r["tokens"]
-        total += np.frombuffer(bytes(r["sums"]), dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int32()), pa.array([tokens], pa.int64()), pa.array([total.tobytes()])], names=["unit", "tokens", "sums"])
+
+    schema = "unit int, tokens long, sums binary"
+    trained = part.repartition(shards, "unit").sortWithinPartitions("unit", "h").select("unit", "s").mapInArrow(run, schema)
+    if shards > 64:  # sums of sums, until few are left
+        trained, n = stored(trained), shards
+        while n > 64:
+            n = -(-n // 16)
+            before, trained = trained, stored(trained.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(add, schema))
+            discard(before)
+    tokens, total = 0, None
+    got = trained.toArrow().sort_by("unit")
+    for t, raw in zip(got["tokens"].to_pylist(), got["sums"].to_pylist(), strict=True):
+        x = np.frombuffer(raw, dtype=np.float64)
+        tokens, total = tokens + t, x if total is None else total + x
+    discard(trained)
     return start.like(total / tokens) if tokens else start
 
 
@@ -275,7 +347,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, parts: int = 7) -> DataFr
     spark, train = docs.sparkSession, ~held_out(id_col, parts)
     counts = count_words(docs, train, text_col)
     vocab = vocabulary(counts)
-    model = learn(docs, train, text_col, vocab)
+    model = learn(docs, train, id_col, text_col, vocab)
     shared = spark.sparkContext.broadcast((vocab, model.tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
