@@ -61,8 +61,9 @@ def _common(kinds: Sequence[T.DataType]) -> T.DataType:
     known = [k for k in kinds if not _is(k, T.NullType)]
     if not known:
         return T.NullType()
-    if all(k == known[0] for k in known):
-        return known[0]
+    typed = [k for k in known if k != T.ArrayType(T.NullType())] or known  # an empty array is one of any type
+    if all(k == typed[0] for k in typed):
+        return typed[0]
     if all(map(_number, known)):
         if all(_is(k, T.IntegralType) for k in known):
             return T.LongType()
@@ -71,11 +72,13 @@ def _common(kinds: Sequence[T.DataType]) -> T.DataType:
 
 
 def _array(values: Sequence[Value]) -> Value:
+    if not values:
+        return Value(F.array().cast("array<void>"), T.ArrayType(T.NullType()))
     kind = _common([v.kind for v in values])
     if _is(kind, T.NullType):
         kind = T.StringType()
     cast = [v.column if v.kind == kind else v.column.cast(kind) for v in values]
-    return Value(F.array(*cast) if cast else F.array().cast(T.ArrayType(kind)), T.ArrayType(kind))
+    return Value(F.array(*cast), T.ArrayType(kind))
 
 
 def _struct(values: dict[str, Value]) -> Value:
@@ -151,15 +154,29 @@ def _objects_values(at: Value) -> Value:
     return out if at.column is None else Value(F.when(at.column.isNotNull(), out.column), out.kind)
 
 
+def _same(a: Value, b: Value) -> Column:
+    """Whether two values are equal, member by member and element by element if their types are not the same."""
+    if _is(a.kind, T.MapType) or _is(b.kind, T.MapType):
+        raise Unsupported("comparing maps needs the text lane")
+    if a.kind == b.kind or _number(a.kind) and _number(b.kind):
+        return a.column.eqNullSafe(b.column)
+    alike = F.lit(False)
+    if _is(a.kind, T.ArrayType) and _is(b.kind, T.ArrayType):
+        pairs = F.zip_with(a.column, b.column, lambda x, y: _same(Value(x, a.kind.elementType), Value(y, b.kind.elementType)))
+        alike = (F.size(a.column) == F.size(b.column)) & F.forall(pairs, lambda x: x)
+    elif _is(a.kind, T.StructType) and _is(b.kind, T.StructType) and {*a.kind.names} == {*b.kind.names}:
+        alike = reduce(lambda x, y: x & y, (_same(_member(a, n), _member(b, n)) for n in a.kind.names))
+    there = a.column.isNotNull() & b.column.isNotNull()
+    return F.when(there, alike).otherwise(a.column.isNull() & b.column.isNull())
+
+
 def _compared(op: str, a: Value, b: Value) -> Value:
     numbers = _number(a.kind) and _number(b.kind)
     if op in ("==", "!="):
         if _is(a.kind, T.NullType) or _is(b.kind, T.NullType) or not (numbers or type(a.kind) is type(b.kind)):
             same = _whole(a).column.isNull() & _whole(b).column.isNull()
-        elif _is(a.kind, T.MapType):
-            raise Unsupported("comparing maps needs the text lane")
         else:
-            same = _whole(a).column.eqNullSafe(_whole(b).column)
+            same = _same(_whole(a), _whole(b))
         return Value(same if op == "==" else ~same, T.BooleanType())
     if not numbers:
         return Value(F.lit(None).cast("boolean"), T.BooleanType())

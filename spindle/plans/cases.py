@@ -19,6 +19,11 @@ SQL = {
     "customer_old": "SELECT c_custkey, nullif(c_nationkey % 4, 0) AS nk, c_name, c_mktsegment FROM customer",
     "customer_new": "SELECT c_custkey, nullif(c_nationkey % 4, 0) AS nk, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_custkey % 8 <> 1",
     "lines": "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, CAST(l_partkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS BIGINT) AS line FROM lineitem",
+    "baskets": """
+      SELECT l_orderkey, items, list_transform(items, lambda x: x.flag) AS names, list_transform(items, lambda x: [x.price, x.qty]) AS pairs, {'lo': items[1].n, 'hi': items[-1].n} AS meta
+      FROM (SELECT l_orderkey, list_sort(list({'n': l_linenumber, 'price': l_extendedprice, 'flag': l_returnflag, 'qty': l_quantity})) AS items FROM lineitem GROUP BY l_orderkey)""",
+    "deep_old": "SELECT event_id, event_type AS kind, user_id AS n, true AS deep FROM events",
+    "deep_new": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || '2' ELSE event_type END AS kind, CASE WHEN event_id % 3 = 0 THEN user_id + 1 ELSE user_id END AS n, event_id % 5 <> 0 AS deep FROM events",
     "lines_new": "SELECT l_orderkey, l_linenumber, CASE WHEN line % 13 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag, l_linestatus, line FROM lines WHERE l_orderkey % 10 <> 7",
 }
 
@@ -35,6 +40,11 @@ def with_views(query: str) -> str:
     return "".join(f"{', ' if k else 'WITH '}{name} AS ({SQL[name]})" for k, name in enumerate(n for n in SQL if n in needed)) + " " + query
 
 
+def before(*names: str) -> str:
+    """The start of SQL that defines these views, with a comma for more."""
+    return "WITH " + ", ".join(f"{name} AS ({SQL[name]})" for name in names) + ", "
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +64,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in ("customer_old", "customer_new"):
         c = t("customer").select("c_custkey", F.expr("nullif(c_nationkey % 4, 0)").alias("nk"), "c_name", "c_mktsegment")
         return c if name == "customer_old" else c.where("c_custkey % 8 <> 1").withColumn("c_name", changed("c_custkey % 6 = 0", F.lit(""), "c_name"))
+    if name == "baskets":
+        one = F.struct(F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("qty"))
+        b = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("items"))
+        return b.select(
+            "l_orderkey", "items", F.transform("items", lambda x: x["flag"]).alias("names"), F.transform("items", lambda x: F.array(x["price"], x["qty"])).alias("pairs"),
+            F.struct(F.col("items")[0]["n"].alias("lo"), F.element_at("items", -1)["n"].alias("hi")).alias("meta"),
+        )
+    if name in ("deep_old", "deep_new"):
+        e, new = t("events"), name == "deep_new"
+        kind = F.when(F.lit(new) & (F.col("event_id") % 4 == 0), F.concat("event_type", F.lit("2"))).otherwise(F.col("event_type"))
+        n = F.when(F.lit(new) & (F.col("event_id") % 3 == 0), F.col("user_id") + 1).otherwise(F.col("user_id"))
+        deep = F.when(F.lit(not new) | (F.col("event_id") % 5 != 0), F.struct(n.alias("n"), kind.alias("a/b")))
+        return e.select("event_id", F.struct(kind.alias("kind"), deep.alias("deep")).alias("meta"))
     line = (F.col("l_partkey") * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("line")
     lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", line)
     if name == "lines":

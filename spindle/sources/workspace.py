@@ -16,7 +16,7 @@ class Workspace:
     """Below spark.checkpoint.dir, which a cluster's executors share; only a local session may do with a temporary folder."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.jvm, self.conf = spark, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         base = spark.conf.get("spark.checkpoint.dir", None)
         self.local = None
         if not base:
@@ -31,9 +31,8 @@ class Workspace:
         self.path = f"{base.rstrip('/')}/comparison-{uuid.uuid4().hex}"
 
     def _file_system(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.conf), where
 
     def stage(self, name: str, chunks) -> str:
         """Writes chunks of bytes to a file that executors can read."""
