@@ -251,7 +251,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large stars and small stars: each node's larger, then smaller, neighbours are linked to
     its smallest neighbour, until nothing changes. Each round is sums by key and joins, written to the
-    shared folder; no neighbourhood is ever gathered. Null ends and loops are dropped. It ends after a
+    shared folder, the sums before they are joined, so that Spark can split the rows of a hot node; no neighbourhood is ever gathered. Null ends and loops are dropped. It ends after a
     number of rounds of the order of the logarithm of the longest path; more than `rounds` is an error.
     """
     links = (
@@ -261,10 +261,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(rounds):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        large = large.distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.distinct())
+        down = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small_ = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -273,7 +273,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct()
         )
         before, links = links, stored(small_)
-        discard(before)
+        discard(before, low, large, down)
         mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == last:
             break
