@@ -198,8 +198,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     one = every.where((F.col("place") == F.col("head.place")) & (F.col("th") == F.col("head.th"))).dropDuplicates(["node"])
     one = stored(one.select("node", "place", "th", "n", "bands"))
     heads = one.select(F.col("node").alias("place"), F.col("n").alias("size"), F.posexplode("bands").alias("nth", "key"))
-    shared = heads.groupBy("key").agg(F.min("place").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(heads.join(shared.select("key", "leader"), "key"))
+    # What rows of a hot key are joined with is stored first: a join of tables can be split by Spark, one of an aggregate that is dealt by that key cannot.
+    shared = stored(heads.groupBy("key").agg(F.min("place").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
+    buckets = stored(heads.join(shared, "key"))
     wanted = buckets.select(F.col("place").alias("node")).distinct().join(one.select("node", "place", "th"), "node")
     texts = docs.where(F.col(text_col).isNotNull()).select(place(id_col).alias("place"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(wanted, ["place", "th"])
     texts = stored(texts.dropDuplicates(["place", "th"]).select(F.col("node").alias("place"), "text"))
@@ -217,7 +218,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     # Pairs of which one is apart from the leader, by slots of similarity to the leader: a link spans two at most.
     width = 1 - similarity + 1e-9
     slot = F.floor(F.col("s") / width)
-    open_ = scored.join(scored.where("apart").select("key").distinct(), "key", "left_semi")
+    apart = stored(scored.where("apart").select("key").distinct())
+    open_ = scored.join(apart, "key", "left_semi")
     open_ = stored(open_.join(one.select(F.col("node").alias("place"), "bands"), "place"))
     short = {"place": "", "c": "c", "s": "s", "size": "n", "d": "d", "bands": "b", "apart": "x"}
     named = lambda df, side: df.select("key", "nth", "slot", *(F.col(c).alias(side + n) for c, n in short.items()))
@@ -241,11 +243,11 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
     if not more.where(F.col("s") >= similarity).isEmpty():
         label = linked(done.unionAll(more))
     grouped = label.join(one.select("node", "place", "th"), "node")
-    least = grouped.groupBy("component").agg(F.min(F.struct("place", "th")).alias("least"))
+    least = stored(grouped.groupBy("component").agg(F.min(F.struct("place", "th")).alias("least")))
     of_node = grouped.select("node", "component").join(least, "component").select("node", "least")
     group = member.select("place", "th", "of.*", "rows").join(of_node, "node", "left").withColumn("least", F.coalesce("least", "head"))
     found = stored(group.select("place", "th", F.col("head.place").alias("copy_of"), F.col("least.place").alias("class"), F.col("least.th").alias("class_th"), "rows"))
-    discard(sketch, first, member, one, buckets, texts, done, scored, open_, sizes, more)
+    discard(sketch, first, member, one, shared, buckets, texts, done, scored, apart, open_, sizes, more, least)
     return found
 
 
