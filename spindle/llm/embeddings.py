@@ -308,8 +308,9 @@ def near_duplicates(vectors: DataFrame, id_col: str, vec_col: str, cosine: float
     several = rows.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
     same = rows.join(several, "id").where("node > a").select("a", F.col("node").alias("b"))
     label = components(edges.unionAll(same))
-    labelled = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = labelled.groupBy("component").agg(F.min("head").alias("least"), F.min("first").alias("first"))
+    labelled = stored(nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # Stored before it is joined, so that Spark can split the rows of a hot component.
+    whole = stored(labelled.groupBy("component").agg(F.min("head").alias("least"), F.min("first").alias("first")))
     told = labelled.select("node", "links", "component").join(whole, "component").drop("component")
     joined = rows.join(told, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least"))
