@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, _powers, as_bytes, mix, signed, small, stored, table
+from .common import Words, _powers, as_bytes, discard, mix, signed, small, stored, table
 
 LENGTH, SEED = 20, 5
 _FIRST = -(1 << 63)
@@ -104,17 +104,19 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, s
             )
 
     anchors = stored(texts.mapInArrow(seeds, "s long, e long, place long, th long, at long, again boolean"))
-    often = anchors.where("not again").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+    # Sums are stored before they are joined, so that Spark can split the rows of a hot seed, stretch or window.
+    often = stored(anchors.where("not again").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"))
     seeds_again = stored(anchors.where("not again").join(often, "s").select("s", "e", "place", "th", "at"))
-    groups = seeds_again.groupBy("s", "e").agg(F.min("place").alias("least"))
+    groups = stored(seeds_again.groupBy("s", "e").agg(F.min("place").alias("least")))
     judged = stored(seeds_again.join(groups, ["s", "e"]))
+    discard(often, seeds_again, groups)
     window_end = lambda at: F.shiftrightunsigned(at, 6) + at.bitwiseAND(63) + (length - 1)
     as_span = lambda df: df.select("place", "th", F.shiftrightunsigned("at", 6).alias("start"), window_end(F.col("at")).alias("end"))
     spans = as_span(anchors.where("again")).unionAll(as_span(judged.where("place > least")))
 
     # First stretches whose seed also has other stretches: window by window.
     firsts = judged.where("place = least")
-    several = judged.groupBy("s").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a < b").select("s")
+    several = stored(judged.groupBy("s").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a < b").select("s"))
     asked = firsts.join(several, "s").select("place", "th", "at").distinct()
     asked = asked.groupBy("place", "th").agg(F.collect_list("at").alias("at"))  # of one document
     asked = asked.join(texts, ["place", "th"]).select("place", "th", "text", "at")
@@ -140,10 +142,12 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, s
             )
 
     single = stored(asked.mapInArrow(windows, "a long, b long, place long, th long, start long, again boolean"))
-    least = single.groupBy("a", "b").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
+    least = stored(single.groupBy("a", "b").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least"))
     later = single.join(least, ["a", "b"]).where("again or place > least").select("place", "th", "start", (F.col("start") + length).alias("end"))
     spans = spans.unionAll(later)
-    return stored(spans.groupBy("place", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    found = stored(spans.groupBy("place", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    discard(anchors, judged, several, single, least)
+    return found
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
