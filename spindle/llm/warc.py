@@ -2,9 +2,9 @@
 
 Method: an as-of join by canonical URL: each revisit is joined to the latest earlier full response of its
 URL, its validators are checked against that response, and the headers that a 304 may change are merged
-over the stored ones. The join is done in two levels, so that no URL is gathered in one task: within slices
-of time the latest response is carried forward; the last response of each slice, one row a slice, is
-carried on to the slices after it.
+over the stored ones. The join is done in two levels, so that no URL is gathered in one task: records are dealt by
+ranges of URL, time and id, as many rows to each range, and within a range the latest response is carried forward; the last
+response of each range, one row for it and a URL, is carried on to the ranges after it.
 
 Only DataFrame functions are used, and payloads are not shuffled: what is joined is their digest.
 
@@ -22,12 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import stored, table
 
 #: Headers of a 304 response that replace the stored ones (RFC 9111, 4.3.4; RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Times in a slice.
-SLICE = 1024
 
 
 def canonical_url(url: Column) -> Column:
@@ -51,14 +49,17 @@ def folded(headers: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
-def resolve(records: DataFrame, slice_size: int = SLICE) -> DataFrame:
+def resolve(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each revisit and response of records (record_id, url, at long, revisit boolean, digest, headers map<string,string>).
 
     Adds `status` (full, resolved, unchecked, mismatch or missing), `source_id` and `source_digest` (those of the
     response that stands for it; null for mismatch and missing) and `merged` (the headers it then has).
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), "at", F.coalesce("revisit", F.lit(False)).alias("revisit"), "digest", folded(F.col("headers")).alias("headers"))
-    rows = rows.withColumn("slice", F.floor(F.coalesce("at", F.lit(-(2**62))) / slice_size))
+    # Ranges hold from when they are written: their bounds are drawn from a sample.
+    by = (F.col("url"), F.col("at").asc_nulls_first(), F.col("record_id").asc_nulls_first())
+    dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
+    rows = stored(dealt.withColumn("slice", F.spark_partition_id()))
     response = F.when(~F.col("revisit"), F.struct("record_id", "digest", "headers"))
     within = Window.partitionBy("url", "slice").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.last(response, ignorenulls=True).over(within))
