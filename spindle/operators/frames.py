@@ -165,23 +165,18 @@ class Frames:
 
     def faults(self) -> DataFrame:
         """(side, fault, identity, n, first, again) of null single keys, and of identities of several rows if these are errors: n rows, at the two first places."""
-        return reduce(DataFrame.unionByName, (self._faults(side) for side in (0, 1)))
-
-    def _faults(self, side: int) -> DataFrame:
-        rows = self.shaped(side).select(*self.ks, "line")
-        counted = rows.groupBy(*self.ks).agg(F.count("*").alias("n"), F.min("line").alias("first"))
+        rows = reduce(DataFrame.unionByName, (self.shaped(side).select(F.lit(side).alias("side"), *self.ks, "line") for side in (0, 1)))
+        bad = rows.groupBy("side", *self.ks).agg(F.count("*").alias("n"), F.min("line").alias("first") if self.order else F.lit(None).cast("long").alias("first"))
         null = F.col("k0").isNull() if len(self.keys) == 1 else F.lit(False)
-        bad = counted.where(null | (F.col("n") > 1) if self.options.duplicates is DuplicatePolicy.ERROR else null)
+        bad = bad.where(null | (F.col("n") > 1) if self.options.duplicates is DuplicatePolicy.ERROR else null)
+        again = F.col("first")
         if self.order:
-            later = rows.join(bad.select(*(F.col(k).alias(f"_{k}") for k in self.ks), "first"), self.same_key("", "_")).where("line > first")
-            again = later.groupBy(*self.ks).agg(F.min("line").alias("again"))
-            bad = bad.join(again.select(*(F.col(k).alias(f"_{k}") for k in self.ks), "again"), self.same_key("", "_"), "left")
-        else:
-            bad = bad.withColumn("again", F.lit(None).cast("long"))
-        return bad.select(
-            F.lit(side).alias("side"), F.when(null, "null key").otherwise("duplicate key").alias("fault"), identity_of([F.col(k) for k in self.ks]).cast("string").alias("identity"), "n", "first",
-            F.when(F.col("n") > 1, F.coalesce("again", "first")).alias("again"),
-        )
+            apart = ["side", *self.ks]
+            marked = bad.select(*(F.col(c).alias(f"_{c}") for c in apart), "first")
+            later = rows.join(marked, (F.col("side") == F.col("_side")) & self.same_key("", "_")).where("line > first").groupBy(*apart).agg(F.min("line").alias("again"))
+            bad = bad.join(later.select(*(F.col(c).alias(f"_{c}") for c in apart), "again"), (F.col("side") == F.col("_side")) & self.same_key("", "_"), "left")
+            again = F.coalesce("again", "first")
+        return bad.select("side", F.when(null, "null key").otherwise("duplicate key").alias("fault"), identity_of([F.col(k) for k in self.ks]).cast("string").alias("identity"), "n", "first", F.when(F.col("n") > 1, again).alias("again"))
 
     @cached_property
     def _sound(self) -> bool:

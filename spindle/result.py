@@ -88,9 +88,11 @@ class DiffResult:
         with ThreadPoolExecutor(2) as pool:  # both sides' jobs run at once
             running = [pool.submit(self._index, side, path) for side, path in enumerate((old, new)) if path is not None]
             sides = []
-            for side, one in enumerate(running):
-                sides.append(one.result())
-                self._fail_on_errors(sides[-1], side)
+            for one in running:
+                found, fault = one.result()
+                if fault is not None:
+                    raise fault
+                sides.append(found)
         if failure is not None:
             raise failure
         self.index_df = sides[0].unionByName(sides[1])
@@ -109,25 +111,24 @@ class DiffResult:
             schema = SchemaSummary(**profile.summary(self.schema_df).first().asDict())
         self._summary = Summary(counts["equal"], counts["added"], counts["deleted"], counts["modified"], extra.get(0, 0), extra.get(1, 0), schema)
 
-    def _index(self, side: int, path: str) -> DataFrame:
+    def _index(self, side: int, path: str) -> tuple[DataFrame, InputError | None]:
+        """A side's index, and the first fault of its records, which is told in its turn."""
         rows = text.lines(self._spark, path) if self.config.format == "jsonl" else text.array_elements(self._spark, path)
         try:
-            return index.numbered(self._workspace.store(f"index-{side}", index.run(rows, side, self.config, self.config.format == "json")))
+            found = index.numbered(self._workspace.store(f"index-{side}", index.run(rows, side, self.config, self.config.format == "json")))
         except Exception as error:
             if any(sign in str(error) for sign in UNREADABLE):
                 raise InputError("invalid input (OSError)", SIDES[side]) from error
             raise ResourceError("could not build the temporary index") from error
-
-    def _fail_on_errors(self, found: DataFrame, side: int) -> None:
         first = found.where("kind = 'error'").agg(F.min(F.struct(F.coalesce("line", F.lit(2**62)).alias("at"), "line", "message")).alias("e")).first()["e"]
         if first is not None:
-            raise InputError(first["message"], SIDES[side], first["line"])
+            return found, InputError(first["message"], SIDES[side], first["line"])
         if self.config.duplicates is DuplicatePolicy.ERROR:
-            records = found.where("kind = 'record'").select("side", "identity", "line")
-            r = reconcile.repeated(records).orderBy("again").first()
+            r = reconcile.repeated(found.where("kind = 'record'").select("side", "identity", "line")).agg(F.min(F.struct("again", "first", "identity")).alias("r")).first()["r"]
             if r is not None:
                 raw = bytes(r["identity"])
-                raise DuplicateKeyError(self._key(raw), raw.decode(), SIDES[side], (r["first"], r["again"]))
+                return found, DuplicateKeyError(self._key(raw), raw.decode(), SIDES[side], (r["first"], r["again"]))
+        return found, None
 
     # --- answers ---
 
