@@ -244,10 +244,10 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIM
         label = linked(done.unionAll(more))
     grouped = label.join(one.select("node", "place", "th"), "node")
     least = stored(grouped.groupBy("component").agg(F.min(F.struct("place", "th")).alias("least")))
-    of_node = grouped.select("node", "component").join(least, "component").select("node", "least")
+    of_node = stored(grouped.select("node", "component").join(least, "component").select("node", "least"))
     group = member.select("place", "th", "of.*", "rows").join(of_node, "node", "left").withColumn("least", F.coalesce("least", "head"))
     found = stored(group.select("place", "th", F.col("head.place").alias("copy_of"), F.col("least.place").alias("class"), F.col("least.th").alias("class_th"), "rows"))
-    discard(sketch, first, member, one, shared, buckets, texts, done, scored, apart, open_, sizes, more, least)
+    discard(sketch, first, member, one, shared, buckets, texts, done, scored, apart, open_, sizes, more, least, of_node)
     return found
 
 
