@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import DecimalException
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,11 @@ from spindle.functions import canonical, jmespath, pointer
 from spindle.model import TYPES, DiffConfig, MissingKeyPolicy
 
 SCHEMA = (
-    "kind string, side int, block long, place long, identity binary, length long, digest binary, body binary, message string, "
+    "kind string, side int, block long, place long, identity binary, length long, d0 long, d1 long, d2 long, d3 long, body binary, message string, "
     "path string, parent string, counts array<long>"
 )
 _ARROW = pa.schema([
-    ("kind", pa.string()), ("side", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("identity", pa.binary()), ("length", pa.int64()), ("digest", pa.binary()),
+    ("kind", pa.string()), ("side", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("identity", pa.binary()), ("length", pa.int64()), *((f"d{k}", pa.int64()) for k in range(4)),
     ("body", pa.binary()), ("message", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("counts", pa.list_(pa.int64())),
 ])
 #: Faults of a record's text.
@@ -148,6 +149,8 @@ def run(rows: DataFrame, side: int, options: DiffConfig, array_errors: bool = Fa
             out += [{"kind": "object", "side": side, "path": p, "counts": [n]} for p, n in objects.items()]
             if n := len(held["place"]):
                 fixed = {"kind": "record", "side": side}
+                digests = np.frombuffer(b"".join(held.pop("digest")), dtype=">i8").astype(np.int64).reshape(-1, 4)
+                held |= {f"d{k}": digests[:, k] for k in range(4)}  # numbers, so that an aggregate over them can be a hash table
                 yield pa.RecordBatch.from_arrays([pa.array(held[f.name], f.type) if f.name in held else pa.repeat(pa.scalar(fixed.get(f.name), f.type), n) for f in _ARROW], schema=_ARROW)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
@@ -158,15 +161,15 @@ def run(rows: DataFrame, side: int, options: DiffConfig, array_errors: bool = Fa
     return rows.select("block", "file", "start", "m", "raw").mapInArrow(index, SCHEMA)
 
 
-def numbered(index: DataFrame) -> DataFrame:
-    """Index rows with `line` instead of block and place: lines are counted through all files in the order of their names."""
+def numbered(index: DataFrame) -> tuple[DataFrame, int]:
+    """(index rows with `line` instead of block and place, how many of them are errors): lines are counted through all files in the order of their names."""
     blocks = index.where("kind = 'block'").select("block", "path", F.col("counts")[0].alias("start"), F.col("place").alias("n"))
     # One row for each block of each file: a sum over all of them in one task is small.
     before = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    n, different = blocks.agg(F.count("*"), F.count_distinct("block")).first()
+    n, different, errors = index.agg(F.count_if(F.col("kind") == "block"), F.count_distinct(F.when(F.col("kind") == "block", F.col("block"))), F.count_if(F.col("kind") == "error")).first()
     if n != different:
         raise ValueError("two blocks have one number")
     told = F.broadcast(offsets) if n <= BROADCAST_BLOCKS else offsets
     rest = [c for c in index.columns if c not in ("block", "place")]
-    return index.where("kind <> 'block'").join(told, "block", "left").select((F.col("place") + F.coalesce("before", F.lit(0))).alias("line"), *rest)
+    return index.where("kind <> 'block'").join(told, "block", "left").select((F.col("place") + F.coalesce("before", F.lit(0))).alias("line"), *rest), errors

@@ -1,16 +1,22 @@
-"""Reconciliation of two sides of records (side, identity, line, length, digest, ...), as joins and aggregates.
+"""Reconciliation of two sides of records (side, identity, line, length, d0 to d3, ...), as aggregates and joins.
 
-Both lanes end here: the text lane's index and the DataFrame lane's columns have the same shape.
+A record's content is known by its length and its digest, which is four numbers.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.model import DuplicatePolicy
 
 
+#: What tells contents apart.
+CONTENT = ("length", "d0", "d1", "d2", "d3")
+
+
 def repeated(records: DataFrame) -> DataFrame:
     """(side, identity, first, again): the two first lines of each identity on more than one line."""
     first = records.groupBy("side", "identity").agg(F.min("line").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -29,17 +35,26 @@ def selected(records: DataFrame, policy: DuplicatePolicy) -> DataFrame:
 def discarded(records: DataFrame, policy: DuplicatePolicy) -> DataFrame:
     """(side, identity, selected_line, discarded_line, content_equal) of each record that was not selected."""
     pick = F.max if policy is DuplicatePolicy.LAST else F.min
-    chosen = records.groupBy("side", "identity").agg(pick(F.struct("line", "length", "digest")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    chosen = records.groupBy("side", "identity").agg(pick(F.struct("line", *CONTENT)).alias("c"), F.count("*").alias("n")).where("n > 1")
     joined = records.join(chosen, ["side", "identity"]).where(F.col("line") != F.col("c.line"))
-    same = (F.col("length") == F.col("c.length")) & (F.col("digest") == F.col("c.digest"))
+    same = F.struct(*CONTENT) == F.struct(*(F.col(f"c.{x}") for x in CONTENT))
     return joined.select("side", "identity", F.col("c.line").alias("selected_line"), F.col("line").alias("discarded_line"), same.alias("content_equal"))
 
 
 def paired(records: DataFrame) -> DataFrame:
-    """(identity, operation, old_line, new_line) of each identity of selected records: one full outer join of fingerprints."""
-    side = lambda n, name: records.where(F.col("side") == n).select("identity", *(F.col(c).alias(f"{name}_{c}") for c in ("line", "length", "digest")))
-    joined = side(0, "old").join(side(1, "new"), "identity", "full_outer")
-    return joined.select("identity", operation().alias("operation"), "old_line", "new_line")
+    """(identity, operation, old_line, new_line, old_n, new_n) of each identity: both sides meet in one hash aggregate.
+
+    The bits in which the contents of a pair differ tell whether they do. Where a side has an identity more than once, it has no operation, and n says so.
+    """
+    old = F.col("side") == 0
+    found = records.groupBy("identity").agg(
+        F.min(F.when(old, F.col("line"))).alias("old_line"), F.min(F.when(~old, F.col("line"))).alias("new_line"), F.count_if(old).alias("old_n"), F.count_if(~old).alias("new_n"),
+        *(F.bit_xor(c).alias(c) for c in CONTENT),
+    )
+    same = reduce(lambda a, b: a & b, (F.col(c) == 0 for c in CONTENT))
+    several = (F.col("old_n") > 1) | (F.col("new_n") > 1)
+    operation = F.when(several, F.lit(None).cast("string")).when(F.col("old_n") == 0, "added").when(F.col("new_n") == 0, "deleted").when(same, "equal").otherwise("modified")
+    return found.select("identity", operation.alias("operation"), "old_line", "new_line", "old_n", "new_n")
 
 
 def bodies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -50,22 +65,6 @@ def bodies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.groupBy("identity").agg(of(0).alias("old_body"), of(1).alias("new_body"))
 
 
-def operation():
-    same = (F.col("old_length") == F.col("new_length")) & (F.col("old_digest") == F.col("new_digest"))
-    return F.when(F.col("old_line").isNull(), "added").when(F.col("new_line").isNull(), "deleted").when(same, "equal").otherwise("modified")
-
-
-def changes(records: DataFrame, only: str | None = None) -> DataFrame:
-    """Changed identities of selected records. One wanted operation gets a narrower join than all of them."""
-    old, new = (records.where(F.col("side") == n) for n in (0, 1))
-    if only == "added":
-        return new.join(old, "identity", "left_anti").select("identity", F.lit("added").alias("operation"), F.lit(None).cast("long").alias("old_line"), F.col("line").alias("new_line"))
-    if only == "deleted":
-        return old.join(new, "identity", "left_anti").select("identity", F.lit("deleted").alias("operation"), F.col("line").alias("old_line"), F.lit(None).cast("long").alias("new_line"))
-    found = paired(records).where("operation <> 'equal'")
-    return found.where(F.col("operation") == only) if only else found
-
-
 def totals(pairs: DataFrame) -> DataFrame:
     """(equal, added, deleted, modified) in one row."""
     return pairs.agg(*(F.count_if(F.col("operation") == name).alias(name) for name in ("equal", "added", "deleted", "modified")))

@@ -89,21 +89,29 @@ class DiffResult:
             running = [pool.submit(self._index, side, path) for side, path in enumerate((old, new)) if path is not None]
             sides = []
             for one in running:
-                found, fault = one.result()
-                if fault is not None:
-                    raise fault
+                try:
+                    found, fault = one.result()
+                    if fault is not None:
+                        raise fault
+                except InputError:
+                    self._fail_on_duplicates(sides)  # of OLD, before what is wrong with NEW
+                    raise
                 sides.append(found)
         if failure is not None:
+            self._fail_on_duplicates(sides)
             raise failure
         self.index_df = sides[0].unionByName(sides[1])
-        self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", "length", "digest")
+        self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", *reconcile.CONTENT)
         policy = self.config.duplicates
         self.selected_df = self.records_df if policy is DuplicatePolicy.ERROR else reconcile.selected(self.records_df, policy)
-        self.pairs_df = self._workspace.store("pairs", reconcile.paired(self.selected_df))
+        pairs = self._workspace.store("pairs", reconcile.paired(self.selected_df))
+        self.pairs_df = pairs.drop("old_n", "new_n")
+        counts = pairs.agg(*(F.count_if(F.col("operation") == name).alias(name) for name in ("equal", "added", "deleted", "modified")), F.count_if(F.col("operation").isNull()).alias("several")).first()
+        if counts["several"]:
+            self._fail_on_duplicates(sides)
         if self.config.field_diff:  # fingerprints have met; of bodies, only those of modified records are fetched
             rows = self.index_df.where("kind = 'record'").select("side", "identity", "line", "body")
             self.patches_df = self._workspace.store("patches", patched(reconcile.bodies(rows, self.pairs_df.where("operation = 'modified'"))))
-        counts = reconcile.totals(self.pairs_df).first()
         extra = {} if policy is DuplicatePolicy.ERROR else {r["side"]: r["n"] for r in reconcile.duplicate_counts(self.records_df).collect()}
         schema = None
         if self.config.schema_diff:
@@ -115,20 +123,26 @@ class DiffResult:
         """A side's index, and the first fault of its records, which is told in its turn."""
         rows = text.lines(self._spark, path) if self.config.format == "jsonl" else text.array_elements(self._spark, path)
         try:
-            found = index.numbered(self._workspace.store(f"index-{side}", index.run(rows, side, self.config, self.config.format == "json")))
+            found, errors = index.numbered(self._workspace.store(f"index-{side}", index.run(rows, side, self.config, self.config.format == "json")))
         except Exception as error:
             if any(sign in str(error) for sign in UNREADABLE):
                 raise InputError("invalid input (OSError)", SIDES[side]) from error
             raise ResourceError("could not build the temporary index") from error
+        if not errors:
+            return found, None
         first = found.where("kind = 'error'").agg(F.min(F.struct(F.coalesce("line", F.lit(2**62)).alias("at"), "line", "message")).alias("e")).first()["e"]
-        if first is not None:
-            return found, InputError(first["message"], SIDES[side], first["line"])
-        if self.config.duplicates is DuplicatePolicy.ERROR:
-            r = reconcile.repeated(found.where("kind = 'record'").select("side", "identity", "line")).agg(F.min(F.struct("again", "first", "identity")).alias("r")).first()["r"]
+        return found, InputError(first["message"], SIDES[side], first["line"])
+
+    def _fail_on_duplicates(self, sides: list[DataFrame]) -> None:
+        """Raises the first repetition of an identity, of the first side that has one, if that is an error."""
+        if self.config.duplicates is not DuplicatePolicy.ERROR:
+            return
+        for side, found in enumerate(sides):
+            again = reconcile.repeated(found.where("kind = 'record'").select("side", "identity", "line"))
+            r = again.agg(F.min(F.struct("again", "first", "identity")).alias("r")).first()["r"]
             if r is not None:
                 raw = bytes(r["identity"])
-                return found, DuplicateKeyError(self._key(raw), raw.decode(), SIDES[side], (r["first"], r["again"]))
-        return found, None
+                raise DuplicateKeyError(self._key(raw), raw.decode(), SIDES[side], (r["first"], r["again"]))
 
     # --- answers ---
 

@@ -118,6 +118,15 @@ def test_sources(spark, tmp_path, pack):
         assert (r.added, r.deleted, r.modified) == (1, 1, 2)
 
 
+def test_duplicates_of_old_come_before_faults_of_new(spark, lines, tmp_path):
+    old = lines("o.jsonl", ['{"id":1}', '{"id":1}'])
+    for new in (lines("n.jsonl", ["{"]), lines("m.jsonl", ['{"id":2}', '{"id":2}']), tmp_path / "absent"):
+        with pytest.raises(DuplicateKeyError, match=r"duplicate key \[1\] on lines 1, 2 in OLD"), diff(old, new, key="id", spark=spark):
+            pass
+    with diff(old, lines("k.jsonl", ['{"id":1}']), key="id", duplicates="first", spark=spark) as r:
+        assert (r.equal, r.old_duplicates) == (1, 1)
+
+
 def test_broken_sources(spark, lines, tmp_path):
     """OLD's faults come first, whatever is wrong with NEW; a broken archive is an unreadable source."""
     with pytest.raises(InputError, match="OLD at line 1"), diff(lines("o.jsonl", ["{"]), tmp_path / "absent", key="id", spark=spark):
