@@ -328,14 +328,18 @@ def averaged(part: DataFrame, shards: int, start: Model, noise: np.ndarray) -> M
     schema = "unit int, tokens long, sums binary"
     trained = part.repartition(shards, "unit").sortWithinPartitions("unit", "h").select("unit", "s").mapInArrow(run, schema)
     n = shards
-    while n > 16:  # sums of sums, until few are left for the driver
+    while n == shards or n > 16:  # sums of sums, until few are left for the driver
         n = -(-n // 16)
         trained = trained.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(add, schema)
+        if n == 1:
+            break
+    trained = stored(trained)  # and the round's shuffle files go
     tokens, total = 0, None
     got = trained.toArrow().sort_by("unit")
     for t, raw in zip(got["tokens"].to_pylist(), got["sums"].to_pylist(), strict=True):
         x = np.frombuffer(raw, dtype=np.float64)
         tokens, total = tokens + t, x if total is None else total + x
+    discard(trained)
     return start.like(total / tokens) if tokens else start
 
 
