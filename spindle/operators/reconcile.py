@@ -32,10 +32,17 @@ def selected(records: DataFrame, policy: DuplicatePolicy) -> DataFrame:
     return records.groupBy("side", "identity").agg(pick(columns).alias("r")).select("side", "identity", *(F.col(f"r.{c}").alias(c) for c in keep))
 
 
-def discarded(records: DataFrame, policy: DuplicatePolicy) -> DataFrame:
-    """(side, identity, selected_line, discarded_line, content_equal) of each record that was not selected."""
+def chosen(records: DataFrame, policy: DuplicatePolicy) -> DataFrame:
+    """(side, identity, c) of each identity of several records: the line and the content of the selected one."""
     pick = F.max if policy is DuplicatePolicy.LAST else F.min
-    chosen = records.groupBy("side", "identity").agg(pick(F.struct("line", *CONTENT)).alias("c"), F.count("*").alias("n")).where("n > 1")
+    return records.groupBy("side", "identity").agg(pick(F.struct("line", *CONTENT)).alias("c"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def discarded(records: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(side, identity, selected_line, discarded_line, content_equal) of each record that was not selected.
+
+    If what was chosen is a written table, Spark can split the join where one identity has many records, and broadcast it where few repeat.
+    """
     joined = records.join(chosen, ["side", "identity"]).where(F.col("line") != F.col("c.line"))
     same = F.struct(*CONTENT) == F.struct(*(F.col(f"c.{x}") for x in CONTENT))
     return joined.select("side", "identity", F.col("c.line").alias("selected_line"), F.col("line").alias("discarded_line"), same.alias("content_equal"))

@@ -54,7 +54,7 @@ def patched(bodies: DataFrame) -> DataFrame:
 class DiffResult:
     def __init__(self, old: Any, new: Any, config: DiffConfig, spark: SparkSession | None = None):
         self._sources, self.config, self._spark = (old, new), config, spark
-        self._state, self._summary, self._fields = "new", None, None
+        self._state, self._summary, self._fields, self._chosen = "new", None, None, None
 
     # --- life ---
 
@@ -226,8 +226,9 @@ class DiffResult:
 
     def duplicates_df(self) -> DataFrame:
         self._need_open()
-        found = reconcile.discarded(self.records_df, self.config.duplicates)
-        return found.orderBy("side", "identity", "discarded_line")
+        if self._chosen is None:
+            self._chosen = self._workspace.store("chosen", reconcile.chosen(self.records_df, self.config.duplicates))
+        return reconcile.discarded(self.records_df, self._chosen).orderBy("side", "identity", "discarded_line")
 
     def duplicates(self) -> Iterator[Duplicate]:
         for r in self.duplicates_df().toLocalIterator():
