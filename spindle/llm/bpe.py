@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import as_text, give_back, spread, stored, table
+from .common import as_text, give_back, small, spread, stored, table
 
 #: Characters of a chunk before the overlap, and of the overlap.
 CHUNK, OVERLAP = 32_768, 512
@@ -127,12 +127,20 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: s
     # Long texts, each different one once.
     keyed = rows.where(long).withColumn("sha", F.sha2("text", 256))
     texts = keyed.select("sha", "text").dropDuplicates(["sha"])
-    starts = F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(chunk)))
-    cut = texts.select("sha", starts.alias("start"), "text")
-    cut = cut.select(
-        "sha", "start", F.col("text").substr(F.col("start") + 1, F.lit(chunk + overlap)).alias("part"),
-        (F.col("start") + chunk + overlap >= F.char_length("text")).alias("last"), (F.col("start") + chunk >= F.char_length("text")).alias("final"),
-    )
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All chunks of each text, in time linear in its length: a built-in substring counts characters from the text's start each time."""
+        for batch in small(batches, 1):
+            for sha, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1)), strict=True):
+                n = len(text)
+                for k in range(0, n, 64 * chunk):
+                    at = range(k, min(n, k + 64 * chunk), chunk)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([sha] * len(at)), pa.array(at, pa.int32()), pa.array([text[i : i + chunk + overlap] for i in at]), pa.array([i + chunk + overlap >= n for i in at]), pa.array([i + chunk >= n for i in at])],
+                        names=["sha", "start", "part", "last", "final"],
+                    )
+
+    cut = texts.mapInArrow(slices, "sha string, start int, part string, last boolean, final boolean")
     cut = spread(cut, "sha", "start")
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
