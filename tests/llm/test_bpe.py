@@ -35,7 +35,7 @@ def test_against_the_library(spark, docs, awkward, plain):
 @pytest.mark.parametrize("overlap", [8, 40])
 def test_stitched_chunks(spark, plain, overlap):
     """Small chunks, of texts that resynchronise in the overlap and of texts that do not."""
-    texts = ["it's  a\n\n test'll 12 345  " * 30, "y" * 700, " " * 300 + "z", "'re" * 200, "中文字 " * 99, "a b" * 50 + "q" * 150 + " c" * 50]
+    texts = ["it's  a\n\n test'll 12 345  " * 30, "y" * 700, " " * 300 + "z", "'re" * 200, "中文字 " * 99, "a b" * 50 + "q" * 150 + " c" * 50, "naïve 中文 12345 don't\n" * 400]
     rows = list(enumerate(texts))
     encoded = bpe.encode(spark.createDataFrame(rows, "n long, t string"), "n", "t", bpe.read_ranks(PATH), public_tokenizers.PATTERN, chunk=64, overlap=overlap)
     assert {r["n"]: r["ids"] for r in encoded.collect()} == {i: plain.encode_ordinary(t) for i, t in rows}
