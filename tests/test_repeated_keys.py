@@ -8,7 +8,7 @@ from spindle.plans import catalog
 from tests.conftest import SMALL, duck, same_rows
 
 QUERIES = [
-    "changes_added", "changes_all", "changes_modified",
+    "changes_added", "changes_all", "changes_modified", "changes_deleted",
 ]
 
 
