@@ -8,7 +8,7 @@ from spindle.plans import catalog
 from tests.conftest import SMALL, duck, same_rows
 
 QUERIES = [
-    "changes_added", "changes_all", "changes_modified", "changes_deleted", "field_patch", "field_summary", "ignore_fields", "summary", "where_filter",
+    "changes_added", "changes_all", "changes_modified", "changes_deleted", "field_patch", "field_summary", "ignore_fields", "summary", "where_filter", "where_side_transition",
 ]
 
 
