@@ -39,7 +39,7 @@ def session() -> SparkSession:
 
 
 def patched(bodies: DataFrame) -> DataFrame:
-    """(identity, patch) from (identity, old_body, new_body)."""
+    """(identity, old_line, new_line, patch) from the same with old_body and new_body."""
 
     @F.pandas_udf(PATCH)
     def patches(old: pd.Series, new: pd.Series) -> pd.Series:
@@ -48,7 +48,7 @@ def patched(bodies: DataFrame) -> DataFrame:
             rows.append([dict(zip(("op", "path", "old", "value"), x, strict=True)) for x in patch(canonical.decode(bytes(a)), canonical.decode(bytes(b)))])
         return pd.Series(rows)
 
-    return bodies.select("identity", patches("old_body", "new_body").alias("patch"))
+    return bodies.select(*reconcile.PAIR, patches("old_body", "new_body").alias("patch"))
 
 
 class DiffResult:
@@ -103,16 +103,25 @@ class DiffResult:
         self.index_df = sides[0].unionByName(sides[1])
         self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", *reconcile.CONTENT)
         policy = self.config.duplicates
-        self.selected_df = self.records_df if policy is DuplicatePolicy.ERROR else reconcile.selected(self.records_df, policy)
-        pairs = self._workspace.store("pairs", reconcile.paired(self.selected_df))
-        self.pairs_df = pairs.drop("old_n", "new_n")
-        counts = pairs.agg(*(F.count_if(F.col("operation") == name).alias(name) for name in ("equal", "added", "deleted", "modified")), F.count_if(F.col("operation").isNull()).alias("several")).first()
-        if counts["several"]:
+        several = policy in (DuplicatePolicy.ERROR, DuplicatePolicy.PAIRS)
+        self.selected_df = self.records_df if several else reconcile.selected(self.records_df, policy)
+        pairs = self._workspace.store("pairs", reconcile.paired(self.selected_df)).drop("old_n", "new_n")
+        self.pairs_df, self.each_df = pairs, pairs.where("operation IS NULL")  # each_df: the pairs of identities that have several
+        count = lambda df: df.agg(*(F.count_if(F.col("operation") == name).alias(name) for name in ("equal", "added", "deleted", "modified")), F.count_if(F.col("operation").isNull()).alias("several")).first()
+        counts = count(pairs)
+        repeated = counts["several"] > 0
+        if repeated:
             self._fail_on_duplicates(sides)
+            self.each_df = self._workspace.store("each", reconcile.every_pair(self.records_df, self.each_df.select("identity")))
+            self.pairs_df = pairs.where("operation IS NOT NULL").unionByName(self.each_df)
+            counts = count(self.pairs_df)
         if self.config.field_diff:  # fingerprints have met; of bodies, only those of modified records are fetched
             rows = self.index_df.where("kind = 'record'").select("side", "identity", "line", "body")
-            self.patches_df = self._workspace.store("patches", patched(reconcile.bodies(rows, self.pairs_df.where("operation = 'modified'"))))
-        extra = {} if policy is DuplicatePolicy.ERROR else {r["side"]: r["n"] for r in reconcile.duplicate_counts(self.records_df).collect()}
+            found = reconcile.bodies(rows, pairs.where("operation = 'modified'"))
+            if repeated:
+                found = found.unionByName(reconcile.bodies_of_each(rows, self.each_df.where("operation = 'modified'")))
+            self.patches_df = self._workspace.store("patches", patched(found))
+        extra = {} if several else {r["side"]: r["n"] for r in reconcile.duplicate_counts(self.records_df).collect()}
         schema = None
         if self.config.schema_diff:
             self.schema_df = self._workspace.store("schema", profile.changes(profile.from_index(self.index_df)))
@@ -179,10 +188,10 @@ class DiffResult:
         self._need_open()
         found = self.pairs_df.where("operation <> 'equal'")
         if self.config.field_diff:
-            found = found.join(self.patches_df, "identity", "left")
+            found = found.join(self.patches_df, [*reconcile.PAIR], "left")
         if operation is not None:
             found = found.where(F.col("operation") == ChangeOperation(operation).value)
-        return found.orderBy("identity")
+        return found.orderBy(*reconcile.PAIR)
 
     def changes(self, operation: ChangeOperation | str | None = None) -> Iterator[Change]:
         location = lambda side, line: None if line is None else SourceLocation(SIDES[side], line)
@@ -228,7 +237,10 @@ class DiffResult:
         self._need_open()
         if self._chosen is None:
             self._chosen = self._workspace.store("chosen", reconcile.chosen(self.records_df, self.config.duplicates))
-        return reconcile.discarded(self.records_df, self._chosen).orderBy("side", "identity", "discarded_line")
+        found = reconcile.discarded(self.records_df, self._chosen)
+        if self.config.duplicates is DuplicatePolicy.PAIRS:  # all are selected
+            found = found.limit(0)
+        return found.orderBy("side", "identity", "discarded_line")
 
     def duplicates(self) -> Iterator[Duplicate]:
         for r in self.duplicates_df().toLocalIterator():

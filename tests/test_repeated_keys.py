@@ -3,12 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spindle import diff
 from spindle.operators.frames import Frames
 from spindle.plans import catalog
+from spindle.report import lines_df
 from tests.conftest import SMALL, duck, same_rows
 
 QUERIES = [
     "changes_added", "changes_all", "changes_modified", "changes_deleted", "field_patch", "field_summary", "ignore_fields", "summary", "where_filter", "where_side_transition",
+    "text_changes",
 ]
 
 
@@ -34,3 +37,15 @@ def test_rows_of_a_key_meet_all_of_the_other_side(spark):
     assert [sorted(r["id"] for r in both.changes(x).collect()) for x in ("added", "deleted", "modified")] == [[3, 3], [2, 2], [1, 1, 1]]
     assert tuple(both.summary().first()) == (1, 2, 2, 3)
     assert both.field_changes().count() == 3 and both.duplicates().count() == 0
+
+
+def test_records_of_a_key_meet_all_of_the_other_side(spark, lines):
+    old = lines("old.jsonl", ['{"id":1,"v":"a"}', '{"id":2,"v":"x"}', '{"id":1,"v":"b"}', '{"id":2,"v":"x"}', '{"id":4,"v":1}'])
+    new = lines("new.jsonl", ['{"id":3,"v":"y"}', '{"id":1,"v":"a"}', '{"id":1,"v":"c"}', '{"id":4,"v":2}'])
+    with diff(old, new, key="id", duplicates="pairs", field_diff=True, spark=spark) as r:
+        assert [(c.operation.value, c.key[0], c.old_line, c.new_line) for c in r.changes()] == [
+            ("modified", 1, 1, 3), ("modified", 1, 3, 2), ("modified", 1, 3, 3), ("deleted", 2, 2, None), ("deleted", 2, 4, None), ("added", 3, None, 1), ("modified", 4, 5, 4),
+        ]
+        assert [c.patch[0].value for c in r.changes("modified")] == ["c", "a", "c", 2]
+        assert (r.equal, r.added, r.deleted, r.modified, r.has_duplicates, list(r.duplicates())) == (1, 1, 2, 4, False, [])
+        assert lines_df(r, spark).where("line LIKE '%patch%'").count() == 4
