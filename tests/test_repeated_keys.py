@@ -11,7 +11,7 @@ from tests.conftest import SMALL, duck, same_rows
 
 QUERIES = [
     "changes_added", "changes_all", "changes_modified", "changes_deleted", "field_patch", "field_summary", "ignore_fields", "summary", "where_filter", "where_side_transition",
-    "text_changes", "text_field_patch", "text_field_summary", "text_summary",
+    "text_changes", "text_field_patch", "text_field_summary", "text_summary", "text_where",
 ]
 
 
