@@ -24,3 +24,9 @@ def test_filters_reach_the_scan(spark):
     plan = found._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,F)" in plan or "EqualNullSafe(o_orderstatus,F)" in plan
     assert "o_totalprice" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_places_where_ranges_are_sampled(spark, tmp_path):
+    """More rows than the sample that ranges are drawn from: computed twice, they differ."""
+    spark.range(60_000).withColumnRenamed("id", "p_partkey").repartition(8).write.parquet(f"{tmp_path}/part.parquet")
+    same_rows(catalog.QUERIES["canonical_order"](spark, str(tmp_path)), duck(tmp_path, catalog.ORACLE_SQL["canonical_order"]))
