@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.functions import canonical, jmespath, pointer
-from spindle.model import TYPES, DiffConfig, MissingKeyPolicy
+from spindle.model import TYPES, DiffConfig, DuplicatePolicy, MissingKeyPolicy
 
 SCHEMA = (
-    "kind string, side int, block long, place long, identity binary, length long, d0 long, d1 long, d2 long, d3 long, body binary, message string, "
+    "kind string, side int, block long, place long, identity binary, length long, d0 long, d1 long, d2 long, d3 long, content binary, body binary, message string, "
     "path string, parent string, counts array<long>"
 )
 _ARROW = pa.schema([
     ("kind", pa.string()), ("side", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("identity", pa.binary()), ("length", pa.int64()), *((f"d{k}", pa.int64()) for k in range(4)),
-    ("body", pa.binary()), ("message", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("counts", pa.list_(pa.int64())),
+    ("content", pa.binary()), ("body", pa.binary()), ("message", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("counts", pa.list_(pa.int64())),
 ])
 #: Faults of a record's text.
 _UNREADABLE = (ValueError, DecimalException, RecursionError)
@@ -35,6 +35,10 @@ _AT = {name: k for k, name in enumerate(TYPES, 2)}
 WIDTH = 2 + len(TYPES)
 
 
+#: Content of up to so many bytes is kept as it is where one of several records is selected: what is alike from record to record packs well, and digests do not.
+SHORT = 96
+
+
 class Fault(Exception):
     pass
 
@@ -120,6 +124,7 @@ def run(rows: DataFrame, side: int, options: DiffConfig, array_errors: bool = Fa
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Pass(options)
+        numbers = options.duplicates not in (DuplicatePolicy.FIRST, DuplicatePolicy.LAST)
         blocks: dict[int, list] = {}  # file, start, m of the first line, number of lines
         for batch in batches:
             out: list[dict] = []
@@ -142,15 +147,18 @@ def run(rows: DataFrame, side: int, options: DiffConfig, array_errors: bool = Fa
                     continue
                 if found is not None:
                     identity, content = found
-                    length, digest = canonical.fingerprint(content)
+                    length, digest = canonical.fingerprint(content) if numbers or len(content) > SHORT else (len(content), content)
                     for name, x in zip(held, (block, place, identity, length, digest, content if options.field_diff else None), strict=True):
                         held[name].append(x)
             out += [{"kind": "field", "side": side, "path": p, "parent": q, "counts": n} for (p, q), n in fields.items()]
             out += [{"kind": "object", "side": side, "path": p, "counts": [n]} for p, n in objects.items()]
             if n := len(held["place"]):
                 fixed = {"kind": "record", "side": side}
-                digests = np.frombuffer(b"".join(held.pop("digest")), dtype=">i8").astype(np.int64).reshape(-1, 4)
-                held |= {f"d{k}": digests[:, k] for k in range(4)}  # numbers, so that an aggregate over them can be a hash table
+                if numbers:
+                    digests = np.frombuffer(b"".join(held.pop("digest")), dtype=">i8").astype(np.int64).reshape(-1, 4)
+                    held |= {f"d{k}": digests[:, k] for k in range(4)}  # numbers, so that an aggregate over them can be a hash table
+                else:
+                    held["content"] = held.pop("digest")
                 yield pa.RecordBatch.from_arrays([pa.array(held[f.name], f.type) if f.name in held else pa.repeat(pa.scalar(fixed.get(f.name), f.type), n) for f in _ARROW], schema=_ARROW)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)

@@ -101,11 +101,11 @@ class DiffResult:
             self._fail_on_duplicates(sides)
             raise failure
         self.index_df = sides[0].unionByName(sides[1])
-        self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", *reconcile.CONTENT)
         policy = self.config.duplicates
         several = policy in (DuplicatePolicy.ERROR, DuplicatePolicy.PAIRS)
-        self.selected_df = self.records_df if several else reconcile.selected(self.records_df, policy)
-        pairs = self._workspace.store("pairs", reconcile.paired(self.selected_df)).drop("old_n", "new_n")
+        self.records_df = self.index_df.where("kind = 'record'").select("side", "identity", "line", *(reconcile.CONTENT if several else reconcile.SELECTED))
+        self.selected_df = self._workspace.store("pairs", reconcile.paired(self.records_df) if several else reconcile.selected(self.records_df, policy))
+        pairs = self.selected_df.select("identity", "operation", "old_line", "new_line")
         self.pairs_df, self.each_df = pairs, pairs.where("operation IS NULL")  # each_df: the pairs of identities that have several
         count = lambda df: df.agg(*(F.count_if(F.col("operation") == name).alias(name) for name in ("equal", "added", "deleted", "modified")), F.count_if(F.col("operation").isNull()).alias("several")).first()
         counts = count(pairs)
@@ -121,12 +121,12 @@ class DiffResult:
             if repeated:
                 found = found.unionByName(reconcile.bodies_of_each(rows, self.each_df.where("operation = 'modified'")))
             self.patches_df = self._workspace.store("patches", patched(found))
-        extra = {} if several else {r["side"]: r["n"] for r in reconcile.duplicate_counts(self.records_df).collect()}
+        extra = (0, 0) if several else reconcile.duplicate_counts(self.selected_df).first()
         schema = None
         if self.config.schema_diff:
             self.schema_df = self._workspace.store("schema", profile.changes(profile.from_index(self.index_df)))
             schema = SchemaSummary(**profile.summary(self.schema_df).first().asDict())
-        self._summary = Summary(counts["equal"], counts["added"], counts["deleted"], counts["modified"], extra.get(0, 0), extra.get(1, 0), schema)
+        self._summary = Summary(counts["equal"], counts["added"], counts["deleted"], counts["modified"], *extra, schema)
 
     def _index(self, side: int, path: str) -> tuple[DataFrame, InputError | None]:
         """A side's index, and the first fault of its records, which is told in its turn."""
@@ -235,12 +235,11 @@ class DiffResult:
 
     def duplicates_df(self) -> DataFrame:
         self._need_open()
+        if self.config.duplicates not in (DuplicatePolicy.FIRST, DuplicatePolicy.LAST):  # all are selected
+            return self._spark.createDataFrame([], "side int, identity binary, selected_line long, discarded_line long, content_equal boolean")
         if self._chosen is None:
-            self._chosen = self._workspace.store("chosen", reconcile.chosen(self.records_df, self.config.duplicates))
-        found = reconcile.discarded(self.records_df, self._chosen)
-        if self.config.duplicates is DuplicatePolicy.PAIRS:  # all are selected
-            found = found.limit(0)
-        return found.orderBy("side", "identity", "discarded_line")
+            self._chosen = self._workspace.store("chosen", reconcile.chosen(self.selected_df))
+        return reconcile.discarded(self.records_df, self._chosen).orderBy("side", "identity", "discarded_line")
 
     def duplicates(self) -> Iterator[Duplicate]:
         for r in self.duplicates_df().toLocalIterator():

@@ -196,3 +196,24 @@ def test_line_numbers_in_many_blocks(spark, lines, tmp_path):
             assert "SortMergeJoin" not in plan  # rows find their block's number where they are
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("n", [1, 80, 81, 82, 83, 300])
+def test_contents_that_are_short_or_digests(run, n):
+    v = "x" * n
+    with run([f'{{"id":1,"v":"{v}"}}', f'{{"id":1,"v":"{v[1:]}y"}}', f'{{"id":1,"v":"{v}"}}'], [f'{{"v":"{v}","id":1}}'], duplicates="first") as r:
+        assert [(d.discarded_line, d.content_equal) for d in r.duplicates()] == [(2, False), (3, True)]
+        assert r.equal == 1
+
+
+def test_selected_records_move_once_and_are_small(run):
+    from pathlib import Path
+
+    from spindle.operators import reconcile
+
+    with run([f'{{"id":{i // 2},"v":"a"}}' for i in range(20_000)], [], duplicates="last") as r:
+        plan = reconcile.selected(r.records_df, r.config.duplicates)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Aggregate(") == 2  # one aggregate, in its two halves
+        size = sum(p.stat().st_size for p in Path(r._workspace.path.removeprefix("file://"), "index-0").glob("*.parquet"))
+        assert size < 20_000 * 24  # a digest alone has 32 bytes
+        assert (r.deleted, r.old_duplicates, r.new_duplicates) == (10_000, 10_000, 0)
