@@ -108,18 +108,18 @@ class DiffResult:
         pairs = self.selected_df.select("identity", "operation", "old_line", "new_line")
         self.pairs_df, self.each_df = pairs, pairs.where("operation IS NULL")  # each_df: the pairs of identities that have several
         count = lambda df: df.agg(*(F.count_if(F.col("operation") == name).alias(name) for name in ("equal", "added", "deleted", "modified")), F.count_if(F.col("operation").isNull()).alias("several")).first()
-        counts = count(pairs)
+        single = counts = count(pairs)
         repeated = counts["several"] > 0
         if repeated:
             self._fail_on_duplicates(sides)
-            self.each_df = self._workspace.store("each", reconcile.every_pair(self.records_df, self.each_df.select("identity")))
+            self.each_df = self._workspace.store("each", reconcile.every_pair(self.records_df, self.each_df.select("identity"), counts["several"]))
             self.pairs_df = pairs.where("operation IS NOT NULL").unionByName(self.each_df)
             counts = count(self.pairs_df)
         if self.config.field_diff:  # fingerprints have met; of bodies, only those of modified records are fetched
             rows = self.index_df.where("kind = 'record'").select("side", "identity", "line", "body")
-            found = reconcile.bodies(rows, pairs.where("operation = 'modified'"))
+            found = reconcile.bodies(rows, pairs.where("operation = 'modified'"), single["modified"])
             if repeated:
-                found = found.unionByName(reconcile.bodies_of_each(rows, self.each_df.where("operation = 'modified'")))
+                found = found.unionByName(reconcile.bodies_of_each(rows, self.each_df.where("operation = 'modified'"), counts["modified"] - single["modified"]))
             self.patches_df = self._workspace.store("patches", patched(found))
         extra = (0, 0) if several else reconcile.duplicate_counts(self.selected_df).first()
         schema = None
