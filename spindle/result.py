@@ -187,8 +187,9 @@ class DiffResult:
         """Changed identities in the order of their canonical bytes, with their patches if there are any."""
         self._need_open()
         found = self.pairs_df.where("operation <> 'equal'")
-        if self.config.field_diff:
-            found = found.join(self.patches_df, [*reconcile.PAIR], "left")
+        if self.config.field_diff:  # each modified pair has its patch, so nothing has to be joined
+            modified = self.patches_df.select(*reconcile.PAIR, F.lit("modified").alias("operation"), "patch")
+            found = found.where("operation <> 'modified'").select(*reconcile.PAIR, "operation", F.lit(None).cast(PATCH).alias("patch")).unionByName(modified)
         if operation is not None:
             found = found.where(F.col("operation") == ChangeOperation(operation).value)
         return found.orderBy(*reconcile.PAIR)
